@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeweft.catalog import search
+from codeweft.catalog import graph, search, text
 
-_MODULES = [search]
+_MODULES = [search, text, graph]
 
 
 def all_queries() -> dict:
