@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeweft.catalog import graph, search, text
+from codeweft.catalog import graph, resolution, search, text
 
-_MODULES = [search, text, graph]
+_MODULES = [search, text, graph, resolution]
 
 
 def all_queries() -> dict:
