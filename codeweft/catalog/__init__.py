@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeweft.catalog import graph, resolution, search, text
+from codeweft.catalog import graph, resolution, search, suggestion, text
 
-_MODULES = [search, text, graph, resolution]
+_MODULES = [search, text, graph, resolution, suggestion]
 
 
 def all_queries() -> dict:
