@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.functions import text as t
+from codeweft.session import cut
 
 # The default filters of an ingest request.
 INCLUDE_GLOBS = ["**/*.*"]
@@ -26,13 +28,70 @@ def language_filter(files: DataFrame, languages: Iterable[str] = LANGUAGES) -> D
     return files.withColumn("language", t.supported_language(F.col("file_path"), languages)).where(F.col("language").isNotNull())
 
 
+def _filesystem(location: str):
+    """Filesystem and bare path of a location: a plain path is local, anything with a scheme goes through its URI."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(location) if "://" in location else (fs.LocalFileSystem(), location)
+
+
+def _list_folders(folders: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import os
+
+    from pyarrow import fs
+
+    for batch in folders:
+        for location in batch["path"]:
+            system, bare = _filesystem(location)
+            scheme = location[: len(location) - len(bare)] if "://" in location else ""
+            found = system.get_file_info(fs.FileSelector(bare))
+            local = isinstance(system, fs.LocalFileSystem)
+            # Links to folders are not followed: they may lead in circles.
+            found = [f for f in found if f.type == fs.FileType.File or not (local and os.path.islink(f.path))]
+            yield pd.DataFrame(
+                {
+                    "path": [scheme + f.path for f in found],
+                    "is_folder": [f.type == fs.FileType.Directory for f in found],
+                    "size": pd.array([f.size if f.size is not None else 0 for f in found], dtype="int64"),
+                }
+            )
+
+
+def _read_files(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in files:
+        for row in range(len(batch)):
+            one = batch.iloc[[row]]
+            system, bare = _filesystem(one["path"].iloc[0])
+            with system.open_input_stream(bare) as stream:
+                # Bytes that are not UTF-8 are dropped.
+                yield one.assign(content=[stream.read().decode("utf-8", errors="ignore")])
+
+
 def scan_repo(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, content): every file below ``root`` with its path relative to it; contents load only if selected."""
-    prefix = F.regexp_replace("path", r"^[a-z0-9]+:/+", "/")
-    base = "/" + root.split("://", 1)[-1].strip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    relative = F.substring(prefix, F.instr(prefix, base) + F.lit(len(base)), F.length(prefix))
-    return files.select(relative.alias("file_path"), "content")
+    """(path, file_path, size) of every file below ``root``, listed one folder level per job across the tasks.
+
+    Spark's own file sources skip empty files and names that start with an underscore, which source trees are full of.
+    """
+    root = root if root == "/" else root.rstrip("/")
+    folders, files = spark.createDataFrame([(root,)], "path string"), None
+    while True:
+        listed = cut(folders.mapInPandas(_list_folders, "path string, is_folder boolean, size long"))
+        level = listed.where(~F.col("is_folder"))
+        files = level if files is None else files.unionByName(level)
+        folders = listed.where("is_folder").select("path").repartition(spark.sparkContext.defaultParallelism, "path")
+        if folders.isEmpty():
+            break
+    relative = F.substring(F.col("path"), F.lit(len(root) + 2), F.length("path"))
+    return files.select("path", relative.alias("file_path"), "size")
+
+
+def read_contents(files: DataFrame, bytes_per_task: int = 64 * 1024 * 1024) -> DataFrame:
+    """Adds the text of every listed file as ``content``; tasks are sized by the listed bytes, not by the path rows."""
+    spark = files.sparkSession
+    total = files.agg(F.sum("size")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // bytes_per_task))
+    columns = ", ".join(f"{name} {kind}" for name, kind in files.dtypes)
+    return files.repartition(tasks, "path").mapInPandas(_read_files, f"{columns}, content string")
 
 
 def read_documents(
@@ -42,11 +101,9 @@ def read_documents(
     exclude: Iterable[str] = EXCLUDE_GLOBS,
     languages: Iterable[str] = LANGUAGES,
 ) -> DataFrame:
-    """(repo_id, file_path, language, content) of the source files of one repository, text decoded as UTF-8."""
-    chosen = language_filter(glob_filter(scan_repo(spark, root), include, exclude), languages)
-    # Bytes that are not UTF-8 are dropped: decoding marks them with the replacement character first.
-    content = F.regexp_replace(F.expr("decode(content, 'UTF-8')"), "�", "")
-    return chosen.select(t.repo_id(F.lit(root)).alias("repo_id"), "file_path", "language", content.alias("content"))
+    """(repo_id, file_path, language, content) of the source files of one repository; only kept files are opened."""
+    text = read_contents(language_filter(glob_filter(scan_repo(spark, root), include, exclude), languages))
+    return text.select(t.repo_id(F.lit(root)).alias("repo_id"), "file_path", "language", "content")
 
 
 def register_repos(registry: DataFrame | None, paths: DataFrame) -> DataFrame:

@@ -1,0 +1,118 @@
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from codeweft.session import build_session  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+
+# Own fixture: a call chain, classes, duplicate names, cycles and files that filters must drop.
+FILES = {
+    "shop/__init__.py": '"""Shop package."""\n',
+    "shop/start.py": "from shop.desk import take_order\n\n\ndef main() -> str:\n    return take_order()\n",
+    "shop/desk.py": "from shop.bill import total_up\nimport os, json as j\n\n\ndef take_order():\n    return total_up([1, 2])\n",
+    "shop/bill.py": (
+        "from shop.vault import store_bill\n\n\n"
+        'def total_up(items: list[int], rate=(1, (2, 3))) -> str:\n    """Add the items up."""\n'
+        "    total = sum(items)  # total_down(items)\n"
+        '    note = f"{label(total)} call_me(now)"\n'
+        "    return store_bill(total)\n"
+    ),
+    "shop/vault.py": "def store_bill(total):\n    return str(total)\n\n\ndef label(x):\n    return x\n",
+    "shop/model.py": (
+        "import abc\n\n\nclass Base:\n    def save(self):\n        (1, 2)\n        return helper()\n\n\n"
+        "class Item(Base, abc.ABC):\n    size = helper()\n\n    @property\n    def price(self):\n        def inner():\n"
+        "            return helper()\n        return inner()\n\n    async def load(self,\n                   deep=helper()):\n"
+        '        text = """\ndef not_a_function():\n    pass\n"""\n        return text\n\n\n'
+        "def helper():\n    def nested():\n        return 1\n    return nested()\n"
+    ),
+    "shop/loop.py": "def ping(n):\n    return pong(n)\n\n\ndef pong(n):\n    if n:\n        return ping(n - 1)\n    return pong(0)\n\n\ndef lonely():\n    pass\n",
+    "a/tool.py": "def run():\n    return 1\n",
+    "b/tool.py": "def run():\n    return 2\n\n\ndef use():\n    return run()\n",
+    "c/other.py": "def use_far():\n    return run()\n",
+    "shop/empty.py": "",
+    "shop/crlf.py": "def windows():\r\n    return 1\r\n",
+    "shop/größe.py": "def maß():\n    return 'ü'\n",
+    "shop/long.py": "def long_one():\n" + "".join(f"    x{i} = {i}\n" for i in range(120)),
+    "web/page.ts": 'import { render } from "./view";\n\nexport function boot() {\n  return render(" hi ");\n}\n\nboot();\n',
+    "web/view.ts": (
+        'import {\n  squeeze,\n} from "./text";\n\nexport class View extends Panel {\n  title = "class Fake {";\n'
+        "  constructor(private el: string) {\n    super(el);\n  }\n  draw(): string {\n    if (this.el) {\n"
+        "      return `${squeeze(this.el)} skip(me)`;\n    }\n    return other(1);\n  }\n}\n\n"
+        "export function render(input: string): string { return squeeze(input); }\n\nfunction other(n) {\n  /* gone( */\n"
+        "  return new View(n);\n}\n"
+    ),
+    "web/text.ts": "export function squeeze(v: string): string {\n  return v.trim().toLowerCase();\n}\n",
+    "root.py": "def top():\n    pass\n",
+    "web/node_modules/dep.js": "function dep() {}\n",
+    "notes.txt": "not code\n",
+}
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = build_session(
+        "codeweft-tests",
+        "local[8]",
+        **{
+            "spark.sql.shuffle.partitions": "4",
+            "spark.driver.memory": "8g",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+        },
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+
+
+@pytest.fixture(scope="session")
+def repo_root(tmp_path_factory):
+    root = tmp_path_factory.mktemp("code") / "repo"
+    for name, text in FILES.items():
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(text.encode("utf-8"))
+    return str(root)
+
+
+@pytest.fixture(scope="session")
+def files(spark, repo_root):
+    from codeweft.sources.repos import read_documents
+
+    # Root-level files never match the default include pattern, as in shell matching of "**/*.*".
+    return read_documents(spark, repo_root).cache()
+
+
+@pytest.fixture(scope="session")
+def parsed(files):
+    from codeweft.operators.extract import ParsedFiles
+
+    return ParsedFiles(files)
+
+
+@pytest.fixture(scope="session")
+def symbols(parsed):
+    return parsed.symbols().cache()
+
+
+@pytest.fixture(scope="session")
+def relations(parsed):
+    return parsed.relations().cache()
+
+
+@pytest.fixture(scope="session")
+def edges(symbols, relations):
+    from codeweft.operators.resolve import resolve_edges
+
+    return resolve_edges(relations, symbols).cache()
+
+
+def named_edges(symbols, edges):
+    """Edges as (type, source name, target name)."""
+    names = {(r.repo_id, r.id): r.qualified_name for r in symbols.select("repo_id", "id", "qualified_name").collect()}
+    return {(e.type, names[e.repo_id, e.src_id], names[e.repo_id, e.dst_id]) for e in edges.collect()}
