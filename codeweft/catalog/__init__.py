@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeweft.catalog import extraction, graph, resolution, search, suggestion, text
+from codeweft.catalog import extraction, graph, questions, resolution, search, suggestion, text
 
-_MODULES = [search, text, graph, resolution, suggestion, extraction]
+_MODULES = [search, text, graph, resolution, suggestion, extraction, questions]
 
 
 def all_queries() -> dict:
