@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeweft.catalog import extraction, graph, questions, resolution, search, suggestion, text
+from codeweft.catalog import extraction, graph, questions, resolution, search, streams, suggestion, text
 
-_MODULES = [search, text, graph, resolution, suggestion, extraction, questions]
+_MODULES = [search, text, graph, resolution, suggestion, extraction, questions, streams]
 
 
 def all_queries() -> dict:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import search_tokens
-from codeweft.session import broadcast_if_small
+from codeweft.session import broadcast_if_small, cut
 
 # Fixed values of the ranking function.
 K1 = 1.5
@@ -60,8 +60,9 @@ def term_stats(documents: DataFrame, index_postings: DataFrame) -> DataFrame:
     return raw.join(mean, "repo_id").select("repo_id", "term", "df", floor.alias("idf"), "avg_len")
 
 
-def build_keyword_index(documents: DataFrame) -> KeywordIndex:
-    table = postings(documents)
+def build_keyword_index(documents: DataFrame, materialise: bool = False) -> KeywordIndex:
+    """Index tables; ``materialise`` keeps the postings in the checkpoint folder when they are used more than once."""
+    table = cut(postings(documents)) if materialise else postings(documents)
     return KeywordIndex(postings=table, term_stats=term_stats(documents, table))
 
 

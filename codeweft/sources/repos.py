@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions import text as t
@@ -41,7 +41,7 @@ def _list_folders(folders: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
     for batch in folders:
-        for location in batch["path"]:
+        for root, location in zip(batch["repo_path"], batch["path"]):
             system, bare = _filesystem(location)
             scheme = location[: len(location) - len(bare)] if "://" in location else ""
             found = system.get_file_info(fs.FileSelector(bare))
@@ -50,6 +50,7 @@ def _list_folders(folders: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = [f for f in found if f.type == fs.FileType.File or not (local and os.path.islink(f.path))]
             yield pd.DataFrame(
                 {
+                    "repo_path": [root] * len(found),
                     "path": [scheme + f.path for f in found],
                     "is_folder": [f.type == fs.FileType.Directory for f in found],
                     "size": pd.array([f.size if f.size is not None else 0 for f in found], dtype="int64"),
@@ -67,22 +68,23 @@ def _read_files(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield one.assign(content=[stream.read().decode("utf-8", errors="ignore")])
 
 
-def scan_repo(spark: SparkSession, root: str) -> DataFrame:
-    """(path, file_path, size) of every file below ``root``, listed one folder level per job across the tasks.
+def scan_repos(roots: DataFrame) -> DataFrame:
+    """(repo_path, path, file_path, size) of every file below the given repo_path rows, one folder level per job.
 
     Spark's own file sources skip empty files and names that start with an underscore, which source trees are full of.
     """
-    root = root if root == "/" else root.rstrip("/")
-    folders, files = spark.createDataFrame([(root,)], "path string"), None
+    tasks = roots.sparkSession.sparkContext.defaultParallelism
+    folders = roots.select("repo_path", F.regexp_replace("repo_path", r"(?<=[^/])/+\z", "").alias("path")).distinct()
+    files = None
     while True:
-        listed = cut(folders.mapInPandas(_list_folders, "path string, is_folder boolean, size long"))
+        listed = cut(folders.mapInPandas(_list_folders, "repo_path string, path string, is_folder boolean, size long"))
         level = listed.where(~F.col("is_folder"))
         files = level if files is None else files.unionByName(level)
-        folders = listed.where("is_folder").select("path").repartition(spark.sparkContext.defaultParallelism, "path")
+        folders = listed.where("is_folder").select("repo_path", "path").repartition(tasks, "path")
         if folders.isEmpty():
             break
-    relative = F.substring(F.col("path"), F.lit(len(root) + 2), F.length("path"))
-    return files.select("path", relative.alias("file_path"), "size")
+    start = F.length(F.regexp_replace("repo_path", r"/+\z", "")) + 2
+    return files.select("repo_path", "path", F.substring(F.col("path"), start, F.length("path")).alias("file_path"), "size")
 
 
 def read_contents(files: DataFrame, bytes_per_task: int = 64 * 1024 * 1024) -> DataFrame:
@@ -95,15 +97,18 @@ def read_contents(files: DataFrame, bytes_per_task: int = 64 * 1024 * 1024) -> D
 
 
 def read_documents(
-    spark: SparkSession,
-    root: str,
+    roots: DataFrame,
     include: Iterable[str] = INCLUDE_GLOBS,
     exclude: Iterable[str] = EXCLUDE_GLOBS,
     languages: Iterable[str] = LANGUAGES,
 ) -> DataFrame:
-    """(repo_id, file_path, language, content) of the source files of one repository; only kept files are opened."""
-    text = read_contents(language_filter(glob_filter(scan_repo(spark, root), include, exclude), languages))
-    return text.select(t.repo_id(F.lit(root)).alias("repo_id"), "file_path", "language", "content")
+    """(repo_id, file_path, language, content) of the source files below the repo_path rows; only kept files are opened."""
+    text = read_contents(language_filter(glob_filter(scan_repos(roots), include, exclude), languages))
+    return text.select(repo_id_of(F.col("repo_path")).alias("repo_id"), "file_path", "language", "content")
+
+
+def repo_id_of(repo_path: Column) -> Column:
+    return t.repo_id(F.regexp_replace(repo_path, r"(?<=[^/])/+\z", ""))
 
 
 def register_repos(registry: DataFrame | None, paths: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def files(spark, repo_root):
     from codeweft.sources.repos import read_documents
 
     # Root-level files never match the default include pattern, as in shell matching of "**/*.*".
-    return read_documents(spark, repo_root).cache()
+    return read_documents(spark.createDataFrame([(repo_root,)], "repo_path string")).cache()
 
 
 @pytest.fixture(scope="session")
