@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions import text as t
+from codeweft.operators.fusion import embed
 
 REPO = "corpus"
 DOC_TOKEN_SQL = r"[A-Za-z_][\p{L}\p{N}_]+|\p{Nd}+"
@@ -15,31 +16,34 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def repo(key: str) -> Column:
+    """The one repo all rows belong to, as a value of the row rather than a constant the optimizer would drop from joins."""
+    return F.when(F.col(key).isNotNull(), REPO).alias("repo_id")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.lit(REPO).alias("repo_id"), F.col("doc_id").alias("id"), "text")
+    return read(spark, sf_dir, "documents").select(repo("doc_id"), F.col("doc_id").alias("id"), "text")
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.lit(REPO).alias("repo_id"), F.col("text").alias("query")
+        F.col("item_id").alias("query_id"), repo("item_id"), F.col("text").alias("query")
     )
 
 
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from codeweft.functions.embedding import hash_embedding
-
-    return documents(spark, sf_dir).select("repo_id", "id", hash_embedding("text").alias("embedding"))
+    return embed(documents(spark, sf_dir))
 
 
 def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").select(F.lit(REPO).alias("repo_id"), F.col("vec_id").alias("id"), "embedding")
+    return read(spark, sf_dir, "embeddings").select(repo("vec_id"), F.col("vec_id").alias("id"), "embedding")
 
 
 def document_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One module symbol per document."""
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
     return read(spark, sf_dir, "documents").select(
-        F.lit(REPO).alias("repo_id"),
+        repo("doc_id"),
         F.col("doc_id").alias("id"),
         F.lit("module").alias("type"),
         name.alias("name"),
@@ -60,7 +64,7 @@ def document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     def chain(group: str, kind: str) -> DataFrame:
         following = F.lead("doc_id").over(Window.partitionBy(group).orderBy("doc_id"))
         return docs.select(
-            F.lit(REPO).alias("repo_id"), F.col("doc_id").alias("src_id"), following.alias("dst_id"), F.lit(kind).alias("type")
+            repo("doc_id"), F.col("doc_id").alias("src_id"), following.alias("dst_id"), F.lit(kind).alias("type")
         ).where(F.col("dst_id").isNotNull())
 
     return chain("source", "CALLS").unionByName(chain("lang", "IMPORTS"))
@@ -73,7 +77,7 @@ def part_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = (F.col("p_partkey") + 1).cast("long")
     columns = read(spark, sf_dir, "part").select(
         "p_partkey",
-        F.lit(REPO).alias("repo_id"),
+        repo("p_partkey"),
         F.lit("function").alias("type"),
         name.alias("name"),
         F.concat_ws(".", brand, F.lower("p_type"), name).alias("qualified_name"),
@@ -107,7 +111,7 @@ def part_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part graph keyed by part number (as text), which keeps traversal rows narrow."""
     return part_links(spark, sf_dir).select(
-        F.lit(REPO).alias("repo_id"),
+        repo("src"),
         F.col("src").cast("string").alias("src_id"),
         F.col("dst").cast("string").alias("dst_id"),
         "type",
@@ -136,7 +140,7 @@ def part_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
         part_links(spark, sf_dir)
         .join(src, "src")
         .join(dst, "dst")
-        .select(F.lit(REPO).alias("repo_id"), "src_qname", hint.alias("dst_hint"), F.col("type").alias("rel_type"), "src_file")
+        .select(repo("src"), "src_qname", hint.alias("dst_hint"), F.col("type").alias("rel_type"), "src_file")
     )
 
 

@@ -106,7 +106,7 @@ def known_repos(spark, sf_dir):
 
 def _document_files(spark, sf_dir):
     path = F.concat(F.col("source"), F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".py"))
-    return d.read(spark, sf_dir, "documents").select(F.lit(d.REPO).alias("repo_id"), path.alias("file_path"), "text")
+    return d.read(spark, sf_dir, "documents").select(d.repo("doc_id"), path.alias("file_path"), "text")
 
 
 def chunk_token_windows(spark, sf_dir):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.session import BROADCAST_BYTES, measured_bytes
+from codeweft.session import BROADCAST_BYTES, measured_bytes, spread
 
 SHARD_ROWS = 50_000
 QUERY_BLOCK_ROWS = 4_096
@@ -33,7 +33,7 @@ def batch_search(
                     best.add(pa.Table.from_batches([batch]))
             yield from best.result().to_batches()
 
-        return rows.mapInArrow(scan, schema)
+        return spread(rows, row_key).mapInArrow(scan, schema)
 
     blocks = max(1, -(-queries.count() // QUERY_BLOCK_ROWS))
     shards = max(1, -(-rows.count() // SHARD_ROWS))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import search_tokens
-from codeweft.session import broadcast_if_small, cut
+from codeweft.session import broadcast_if_small, cut, spread
 
 # Fixed values of the ranking function.
 K1 = 1.5
@@ -31,38 +31,36 @@ class KeywordIndex:
 
 def postings(documents: DataFrame) -> DataFrame:
     """(repo_id, id, text) to one row per document and term; counts are combined map-side before the one shuffle."""
-    tokens = documents.select("repo_id", "id", search_tokens(F.col("text")).alias("tokens"))
-    exploded = tokens.select("repo_id", "id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("term"))
+    tokens = spread(documents, "id").select("repo_id", "id", search_tokens(F.col("text")).alias("tokens"))
+    # The length is taken before the explode, or every exploded row would carry the whole token array.
+    measured = tokens.withColumn("n_tokens", F.size("tokens"))
+    exploded = measured.select("repo_id", "id", "n_tokens", F.explode("tokens").alias("term"))
     return exploded.groupBy("repo_id", "id", "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(documents: DataFrame, index_postings: DataFrame) -> DataFrame:
-    """Documents and mean length per repo; documents without any token count too."""
-    counts = documents.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_docs"))
-    lengths = index_postings.groupBy("repo_id").agg(F.sum("tf").alias("n_tokens"))
-    return counts.join(lengths, "repo_id", "left").select(
-        "repo_id",
-        "n_docs",
-        (F.coalesce("n_tokens", F.lit(0)) / F.col("n_docs")).alias("avg_len"),
-    )
-
-
 def term_stats(documents: DataFrame, index_postings: DataFrame) -> DataFrame:
-    """Document frequency and idf per term; a negative idf becomes a quarter of the vocabulary's mean idf."""
-    # tf is read (every posting has tf >= 1) so that this aggregate and the scoring share one postings exchange.
-    frequency = index_postings.groupBy("repo_id", "term").agg(F.sum(F.signum("tf")).cast("long").alias("df"))
-    rest = F.col("n_docs") - F.col("df") + 0.5
-    raw = frequency.join(corpus_stats(documents, index_postings), "repo_id").withColumn(
-        "raw_idf", F.log(rest) - F.log(F.col("df") + 0.5)
+    """Document frequency and idf per term; a negative idf becomes a quarter of the vocabulary's mean idf.
+
+    The postings are read once, for the vocabulary; corpus size, mean length and mean idf are aggregates of that much
+    smaller table (documents without any token still count for the corpus size).
+    """
+    vocabulary = cut(
+        index_postings.groupBy("repo_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     )
+    counts = documents.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    lengths = vocabulary.groupBy("repo_id").agg(F.sum("total").alias("n_tokens"))
+    corpus = counts.join(lengths, "repo_id").select("repo_id", "n_docs", (F.col("n_tokens") / F.col("n_docs")).alias("avg_len"))
+    raw_idf = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    # One row per repo on the right of both joins.
+    raw = vocabulary.join(corpus, "repo_id").withColumn("raw_idf", raw_idf)
     mean = raw.groupBy("repo_id").agg(F.avg("raw_idf").alias("mean_idf"))
     floor = F.when(F.col("raw_idf") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw_idf"))
     return raw.join(mean, "repo_id").select("repo_id", "term", "df", floor.alias("idf"), "avg_len")
 
 
-def build_keyword_index(documents: DataFrame, materialise: bool = False) -> KeywordIndex:
-    """Index tables; ``materialise`` keeps the postings in the checkpoint folder when they are used more than once."""
-    table = cut(postings(documents)) if materialise else postings(documents)
+def build_keyword_index(documents: DataFrame) -> KeywordIndex:
+    """Index tables of (repo_id, id, text). Postings are kept in the checkpoint folder: statistics and searches read them."""
+    table = cut(postings(documents))
     return KeywordIndex(postings=table, term_stats=term_stats(documents, table))
 
 

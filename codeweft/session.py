@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,9 +43,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder, so iterations neither regrow nor recompute their lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a table in the checkpoint folder, so iterations neither regrow nor recompute their lineage.
+
+    Unlike a checkpointed RDD the table is columnar, its scans prune columns and push filters down, and its known size lets
+    the planner choose broadcasts.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -64,3 +71,22 @@ def broadcast_if_small(df: DataFrame, size_of: DataFrame | None = None, limit: i
     ``size_of`` may be a cheaper table that bounds ``df`` from above, such as the input of a filtering join.
     """
     return F.broadcast(df) if measured_bytes(df if size_of is None else size_of) <= limit else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash ``df`` over all cores when its input is too small to be split that far by itself.
+
+    Files far below cores * maxPartitionBytes arrive in fewer tasks than there are cores; before per-row heavy work that
+    small input is worth one shuffle. Larger inputs are returned as they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, *keys) if size < cores * split else df
+
+
+def _bytes(text: str) -> int:
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    text = text.lower().removesuffix("b")
+    return int(text[:-1]) * units[text[-1]] if text[-1:] in units else int(text)
