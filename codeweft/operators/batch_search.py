@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.session import BROADCAST_BYTES, measured_bytes, spread
+from codeweft.session import BROADCAST_BYTES, cut, measured_bytes, spread
 
 SHARD_ROWS = 50_000
 QUERY_BLOCK_ROWS = 4_096
@@ -35,6 +35,7 @@ def batch_search(
 
         return spread(rows, row_key).mapInArrow(scan, schema)
 
+    queries = cut(queries)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK_ROWS))
     shards = max(1, -(-rows.count() // SHARD_ROWS))
     left = rows.withColumn("shard", F.pmod(F.xxhash64(row_key), F.lit(shards)).cast("int"))
