@@ -87,7 +87,7 @@ def test_partial_ratio_against_brute_force():
 
 def test_fuzzy_suggestion_against_brute_force(spark, symbols):
     queries = spark.createDataFrame([("q1", "saveor"), ("q2", "run"), ("q3", "  "), ("q4", "shop.desk.take")], "query_id string, query string")
-    queries = queries.crossJoin(F.broadcast(symbols.select("repo_id").limit(1)))
+    queries = queries.withColumn("repo_id", F.lit(symbols.first().repo_id))
     got = suggest.suggest(queries, symbols, top_n=5)
     blocks = suggest.suggest(queries, symbols, top_n=5, limit=-1)
     columns = ("query_id", "rank", "qualified_name", "id", "score")
