@@ -9,7 +9,6 @@ from codeweft.functions import text as t
 from codeweft.operators.fusion import embed
 
 REPO = "corpus"
-DOC_TOKEN_SQL = r"[A-Za-z_][\p{L}\p{N}_]+|\p{Nd}+"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
