@@ -31,7 +31,7 @@ WITH words AS (
   SELECT doc_id, list(p) AS ps FROM covered GROUP BY doc_id
 ), stays AS (
   SELECT doc_id, len(w) AS n,
-    CASE WHEN ps IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), x -> NOT list_contains(ps, x[2])), x -> x[1]) END AS k
+    CASE WHEN ps IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(ps, x[2])), lambda x: x[1]) END AS k
   FROM words LEFT JOIN gone USING (doc_id)
 )
 SELECT doc_id, n AS n_words, n - len(k) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM stays
