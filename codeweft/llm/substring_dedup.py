@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from codeweft.llm.words import encode_words, keyed, mix, pack_arrays, ranges, rolling, text_chunks, unpack_arrays, within, word_hashes
 from codeweft.session import cut
 
+#: Text dealt at once in a task; larger blobs repeat fewer words of their vocabulary.
+DEAL_BYTES = 12 << 20
 #: Words that a bucket is planned to receive, and the most seed runs that are ever called hot (8 bytes each in a broadcast).
-BUCKET_WORDS = 2_000_000
+BUCKET_WORDS = 4_000_000
 MOST_HOT = 1 << 22
 HOT_BIT = np.uint64(1 << 63)
 SALT = np.uint64(0x51ED2701)
@@ -109,7 +111,7 @@ def _minimisers(values: np.ndarray, width: int, seed: int, hot: np.ndarray) -> n
 
 
 def _deal(batches: Iterable[pa.RecordBatch], width: int, seed: int, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for table in text_chunks(batches):
+    for table in text_chunks(batches, limit=DEAL_BYTES):
         k, tie = table.column("k").to_numpy(), table.column("tie").to_numpy()
         order = np.lexsort((tie, k))
         fresh = np.ones(len(order), bool)
@@ -118,6 +120,9 @@ def _deal(batches: Iterable[pa.RecordBatch], width: int, seed: int, buckets: int
         texts = table.column("text").to_pylist()
         codes, counts, vocabulary = encode_words(texts[i] for i in order)
         del texts
+        by_word = np.array(sorted(range(len(vocabulary)), key=vocabulary.__getitem__), np.int64)
+        vocabulary = [vocabulary[i] for i in by_word]
+        codes = np.argsort(by_word).astype(np.int32)[codes] if len(by_word) else codes
         starts = within(counts, width)
         if not len(starts):
             continue
@@ -149,15 +154,22 @@ def _deal(batches: Iterable[pa.RecordBatch], width: int, seed: int, buckets: int
         for b in sorted(groups.keys() | settled.keys()):
             own = groups.get(b, np.zeros(0, np.int64))
             stream = codes[ranges(at[own], lengths[own] + width - 1)]
-            used, stream = np.unique(stream, return_inverse=True)
-            small = np.uint16 if len(used) <= 1 << 16 else np.uint32
+            used, stream, often = np.unique(stream, return_inverse=True, return_counts=True)
+            # The 256 most frequent words first, the rest in alphabetical order: both compress well, byte by byte.
+            top = np.argsort(-often, kind="stable")[:256]
+            rest = np.ones(len(used), bool)
+            rest[top] = False
+            listed = np.concatenate([top, np.flatnonzero(rest)])
+            stream, used = np.argsort(listed)[stream], used[listed]
+            small = np.dtype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+            planes = stream.astype(small).view(np.uint8).reshape(-1, small.itemsize).T
             known = np.array(settled.get(b, []), np.int64).reshape(-1, 4)
             who, which = np.unique(doc[own], return_inverse=True)
             names.append(b)
             blobs.append(
                 pack_arrays(
                     k[who], tie[who], which.astype(np.uint32), local[own].astype(np.uint32), lengths[own].astype(np.uint32),
-                    np.array([np.dtype(small).itemsize]), stream.astype(small).tobytes(), b" ".join(words[used]), known,
+                    np.array([small.itemsize]), planes, b" ".join(words[used]), known,
                 )
             )
             size += len(blobs[-1])
@@ -204,7 +216,7 @@ def _settle(table: pa.Table, width: int) -> pa.Table:
     base = 0
     for blob in table.column("blob").to_pylist():
         k, tie, which, local, runs, size, stream, text, settled = unpack_arrays(
-            blob, np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.int64, bytes, bytes, np.int64
+            blob, np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.int64, np.uint8, bytes, np.int64
         )
         known.append(settled.reshape(-1, 4))
         if not len(runs):
@@ -214,7 +226,8 @@ def _settle(table: pa.Table, width: int) -> pa.Table:
         ties.append(tie[which])
         starts.append(local.astype(np.int64))
         lengths.append(runs.astype(np.int64))
-        streams.append(np.frombuffer(stream, np.uint16 if size[0] == 2 else np.uint32).astype(np.int64) + base)
+        stream = np.ascontiguousarray(stream.reshape(size[0], -1).T).view(np.uint16 if size[0] == 2 else np.uint32).ravel()
+        streams.append(stream.astype(np.int64) + base)
         base += len(vocabulary)
         vocabularies.append(pa.array(vocabulary, pa.binary()))
         parts.append(len(vocabulary))
