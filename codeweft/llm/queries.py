@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import substring_dedup
+from codeweft.llm import jaccard_join, substring_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,6 +37,36 @@ WITH words AS (
 SELECT doc_id, n AS n_words, n - len(k) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM stays
 """
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    linked = jaccard_join.link_components(_table(spark, folder, "documents"))
+    return linked.select(F.col("id").alias("doc_id"), "n_shingles", jaccard_join.component_id().alias("component_id"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS s FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT a AS s, a AS t FROM edges UNION SELECT s, b FROM reach JOIN edges ON t = a
+), roots AS (
+  SELECT s, min(t) AS root FROM reach GROUP BY s
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots ON s = doc_id
+"""
+
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
+    "op10_jaccard_join": (op10_jaccard_join, OP10_SQL),
 }
