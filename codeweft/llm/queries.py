@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import jaccard_join, substring_dedup
+from codeweft.llm import jaccard_join, substring_dedup, toxicity
+from codeweft.llm.words import training
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -66,7 +67,18 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component
 FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots ON s = doc_id
 """
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = toxicity.fit(docs, _table(spark, folder, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", (~training(F.col("doc_id"), 5)).alias("held_out"), F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), "toxic_spans",
+    )
+
+
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
     "op10_jaccard_join": (op10_jaccard_join, OP10_SQL),
+    "op9_toxicity": (op9_toxicity, None),
 }
