@@ -1,15 +1,16 @@
 """N-gram Jaccard join by prefix trees.
 
-A document's set is its distinct word n-grams as 64-bit hashes; ascending hash is the global order. Documents with equal sets
+A document's set is its distinct word n-grams as 64-bit hashes. Documents with equal sets
 are one class. Two sets within the threshold share one of the first ``n - ceil(t n) + 1`` members of either (prefix
 filter), so classes meet at shared prefix members; there a path-compressed tree of the sets is traversed with each set in turn: sets below a
 node share the overlap counted on the way down, and a subtree is left as soon as the overlap so far plus the smaller
 remaining length cannot reach what its smallest set needs.
 
-1. A fifth of all hashes (by value) is counted over the corpus. A class with more members of its own than the threshold lets
+1. A third of all hashes (by value) is counted over the corpus. A class with more members of its own than the threshold lets
    any partner miss is linked to nothing and leaves. This is exact and takes one small shuffle.
-2. Remaining classes meet at their smallest member under two other orders; links found there are joined to components.
-3. Prefix members still shared by different components are the only places where a link can be missing: their classes meet
+2. For the remaining classes all members are counted, and the test is repeated. The global order is by rising frequency from here.
+3. Classes meet at their smallest member under two other orders; links found there are joined to components.
+4. Prefix members still shared by different components are the only places where a link can be missing: their classes meet
    again, split by length and into block pairs where many meet, and only links between components are looked for.
 
 So a group of copies is never expanded into pairs, and no link between components is lost. Defined results: null or empty
@@ -26,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.llm.components import components
-from codeweft.llm.words import LAST_ID, LOWER_BYTES, encode_words, keyed, mix, pack_arrays, rolling, text_chunks, unpack_arrays, within, word_hashes
+from codeweft.llm.words import CHUNK_BYTES, LAST_ID, LOWER_BYTES, encode_words, keyed, mix, pack_arrays, rolling, text_chunks, unpack_arrays, within, word_hashes
 from codeweft.session import cut
 
-#: Share of hash values counted in step 1 (members below 2**64 / COUNTED), and members (of all sets) one task is given.
-COUNTED = 5
+#: Share of hash values counted in step 1 (members below 2**64 / COUNTED), and the members that one meeting's part may hold.
+COUNTED = 3
 BLOCK_MEMBERS = 1_000_000
-BUCKET_MEMBERS = 2_000_000
+#: Text whose counted members make one bucket (about half a million).
+BUCKET_BYTES = 10_000_000
 SALTS = (0x2545F4914F6CDD1D, 0x6A09E667F3BCC909)
 
 
@@ -40,15 +42,16 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: ``id, k, tie, n_shingles, root`` where ``root`` is the smallest ``(k, tie)`` reachable by links."""
     rows = keyed(docs, id_col, text_col)
     texts = rows.select("id", "k", "tie", "text")
-    stage = cut(texts.mapInArrow(lambda it: _sets(it, width), "id long, k long, tie long, n long, counted long, s1 long, s2 long, bucket long, blob binary"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    stage = cut(texts.mapInArrow(lambda it: _sets(it, width, buckets), "id long, k long, tie long, n long, counted long, s1 long, s2 long, bucket long, blob binary"))
     single = stage.filter("blob is null").select("id", "k", "tie", "n", "counted", "s1", "s2")
     classes = single.filter("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("k", "tie")).alias("node"), F.max("n").alias("n"), F.max("counted").alias("counted"))
     shared = stage.filter("blob is not null").groupBy("bucket").applyInArrow(_shared_members, "s1 long, s2 long, live long")
     live = shared.groupBy("s1", "s2").agg(F.sum("live").alias("live"))
     spare = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100))
     classes = cut(classes.join(live, ["s1", "s2"], "left").withColumn("open", F.col("counted") - F.least("counted", F.coalesce("live", F.lit(0))) <= spare))
-    sets = _sets_of(texts, classes.filter("open").select("node.k", "node.tie"), width)
-    sets = cut(sets)
+    sets = cut(_sets_of(texts, classes.filter("open").select("node.k", "node.tie"), width, percent))
     links = _meet_at_minimum(sets, percent)
     labels = components(links)
     labelled = sets.join(labels, sets["node"] == labels["node"], "left").select(sets["node"], "n", "members", F.coalesce("root", sets["node"]).alias("root"))
@@ -90,13 +93,14 @@ def _member_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
-def _sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterable[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     names = ["id", "k", "tie", "n", "counted", "s1", "s2", "bucket", "blob"]
     limit = np.uint64((1 << 64) // COUNTED)
     for table in text_chunks(batches):
         sets = _member_sets(table.column("text").to_pylist(), width)
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        few = [s[: np.searchsorted(s, limit)] for s in sets]
+        # 48 bits are enough to count by: a chance match only lets a class stay for the exact steps.
+        few = [np.unique(s[: np.searchsorted(s, limit)] >> np.uint64(16)) for s in sets]
         s1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
         s2 = np.array([mix(s ^ np.uint64(SALTS[0])).sum(dtype=np.uint64) for s in sets], np.uint64)
         rows = table.num_rows
@@ -119,8 +123,7 @@ def _sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         # Members of several classes of this chunk are known to be shared: one row tells the others, the sums stay here.
         known = np.bincount(owner[np.repeat(several, lengths)], minlength=len(first))
         members, owner = members[heads], np.where(several, -1, owner[heads])
-        buckets = 1 << 10
-        bucket = (members // (limit // np.uint64(buckets) + np.uint64(1))).astype(np.int64)
+        bucket = (members // ((limit >> np.uint64(16)) // np.uint64(buckets) + np.uint64(1))).astype(np.int64)
         edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         group = _coarse(edges, len(bucket))
         ids, blobs = [], []
@@ -175,20 +178,45 @@ def _shared_members(table: pa.Table) -> pa.Table:
     return pa.table({"s1": pairs[:, 0], "s2": pairs[:, 1], "live": np.bincount(where.ravel(), n, len(pairs)).astype(np.int64)})
 
 
-def _sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``node, n, members``: the sets of the wanted documents, each once."""
-    own = texts.join(wanted, ["k", "tie"]).groupBy("k", "tie").agg(F.first("text").alias("text"))
+def _sets_of(texts: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
+    """``node, n, members``: members that several wanted classes share, by rising frequency; classes with too few of them go.
+
+    A member is 5 bits for its frequency (half-octaves) and 58 of its hash, so ascending numbers are the global order. Members
+    of one class only stand before all others in it and are just counted (``n`` minus the length of ``members``).
+    """
+    wanted = cut(wanted.withColumn("cid", F.monotonically_increasing_id()))
+    texts = _probably_in(texts, wanted)
+    own = texts.join(wanted, ["k", "tie"]).groupBy("k", "tie", "cid").agg(F.first("text").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in text_chunks(batches):
+        for table in text_chunks(batches, limit=CHUNK_BYTES // 2):
             sets = _member_sets(table.column("text").to_pylist(), width)
-            yield pa.record_batch(
-                [table.column("k").combine_chunks(), table.column("tie").combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["k", "tie", "n", "members"],
-            )
-
-    found = own.mapInArrow(run, "k long, tie long, n long, members binary")
-    return found.select(F.struct("k", "tie").alias("node"), "n", "members")
+            sizes = np.array([len(s) for s in sets], np.int64)
+            index = np.repeat(np.arange(len(sets)), sizes)
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            for low in range(0, len(flat), 1 << 17):
+                part = pa.array(index[low : low + (1 << 17)])
+                columns = [table.column(c).combine_chunks().take(part) for c in ("cid", "k", "tie")]
+                yield pa.record_batch([*columns, pa.array(sizes).take(part), pa.array(flat[low : low + (1 << 17)])], ["cid", "k", "tie", "n", "member"])
+
+    postings = cut(own.mapInArrow(run, "cid long, k long, tie long, n long, member long"))
+    often = postings.groupBy("member").agg(F.count("*").alias("df")).filter("df > 1")
+    key = F.least(F.lit(31), F.floor(2 * F.log2("df"))).cast("long") * F.lit(1 << 58) + F.col("member").bitwiseAND(F.lit((1 << 58) - 1))
+    shared = postings.select("cid", "member").join(often, "member").select("cid", key.alias("member"))
+    sets = shared.groupBy("cid").agg(F.sort_array(F.collect_list("member")).alias("members"))
+    sizes = postings.select("cid", "k", "tie", "n").distinct()
+    kept = sets.join(sizes, "cid").filter(F.size("members") * 100 >= F.col("n") * percent)
+    return kept.select(F.struct("k", "tie").alias("node"), "n", "members")
+
+
+def _probably_in(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose key may be wanted: a bitmap of 2**26 bits (at most 2**20 broadcast rows) spares the shuffle of other texts."""
+    slot = F.pmod(F.xxhash64("k", "tie"), F.lit(1 << 26))
+    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    word = F.floor(F.col("slot") / 64).cast("int")
+    bits = wanted.select(slot.alias("slot")).select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    marked = texts.withColumn("slot", slot).withColumn("word", word)
+    return marked.join(F.broadcast(bits), "word").filter(F.col("bits").bitwiseAND(bit) != 0).drop("slot", "word", "bits")
 
 
 def _meet_at_minimum(sets: DataFrame, percent: int) -> DataFrame:
@@ -196,9 +224,8 @@ def _meet_at_minimum(sets: DataFrame, percent: int) -> DataFrame:
 
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [batch.schema.get_field_index(c) for c in ("k", "tie", "n", "members")]
-            k, tie, n, members = (batch.column(i) for i in at)
-            arrays = [np.frombuffer(m, np.uint64) for m in members.to_pylist()]
+            k, tie, n, members = (batch.column(batch.schema.get_field_index(c)) for c in ("k", "tie", "n", "members"))
+            arrays = _arrays(members)
             for salt in SALTS:
                 least = [int(mix(m ^ np.uint64(salt)).min() ^ np.uint64(salt)) if len(m) else 0 for m in arrays]
                 yield pa.record_batch([pa.array(np.array(least, np.uint64).view(np.int64)), k, tie, n], ["place", "k", "tie", "n"])
@@ -213,49 +240,60 @@ def _meet_at_minimum(sets: DataFrame, percent: int) -> DataFrame:
     dealt = places.join(met, "place").select("k", "tie", "place", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)).alias("part"))
     full = dealt.join(flat, ["k", "tie"]).select("place", "part", "k", "tie", "n", "members", F.lit(None).cast("long").alias("rk"), F.lit(None).cast("long").alias("rt"))
     found = full.groupBy("place", "part").applyInArrow(lambda t: _tree_links(t, percent), "ak long, at long, bk long, bt long")
+    return _as_links(found)
+
+
+def _as_links(found: DataFrame) -> DataFrame:
     return cut(found.select(F.struct(F.col("ak").alias("k"), F.col("at").alias("tie")).alias("a"), F.struct(F.col("bk").alias("k"), F.col("bt").alias("tie")).alias("b")))
 
 
 def _meet_between_components(sets: DataFrame, percent: int) -> DataFrame:
-    """Links between classes of different components, found at prefix members that several components share."""
-    step = float(np.log(100 / percent)) if percent < 100 else 1.0
-
-    def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = {c: batch.column(batch.schema.get_field_index(c)) for c in ("k", "tie", "rk", "rt", "n", "members")}
-            n = rows["n"].to_numpy()
-            take = n - (n * percent + 99) // 100 + 1
-            members = [np.frombuffer(m, np.uint64)[:t] for m, t in zip(rows["members"].to_pylist(), take, strict=True)]
-            place = np.concatenate(members).view(np.int64) if members else np.zeros(0, np.int64)
-            index = pa.array(np.repeat(np.arange(len(n)), take))
-            names = ["k", "tie", "rk", "rt", "n"]
-            for low in range(0, len(place), 1 << 17):
-                part = index.slice(low, 1 << 17)
-                yield pa.record_batch([pa.array(place[low : low + (1 << 17)])] + [rows[c].take(part) for c in names], ["place", *names])
+    """Links between classes of different components, found at prefix members that several components share.
 
+    Members with the same classes are one meeting, whatever their number (a shared passage has many).
+    """
+    step = float(np.log(100 / percent)) if percent < 100 else 1.0
     flat = sets.select("node.k", "node.tie", F.col("root.k").alias("rk"), F.col("root.tie").alias("rt"), "n", "members")
-    places = flat.mapInArrow(prefixes, "place long, k long, tie long, rk long, rt long, n long")
+    # Of the first n - ceil(t n) + 1 members, those of this class alone (n - size) come first and meet nobody.
+    take = F.size("members") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1
+    places = flat.select("k", "tie", "rk", "rt", "n", F.explode(F.slice("members", F.lit(1), take)).alias("place"))
     # Sets within the threshold lie in the same length class or in neighbouring ones: a set joins its own and the next.
     level = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
     places = places.withColumn("level", F.explode(F.array(level, level + 1)))
-    root = F.struct("rk", "rt")
-    met = places.groupBy("place", "level").agg(F.min(root).alias("low"), F.max(root).alias("high"), F.sum("n").alias("total"))
-    met = cut(met.filter("low != high").select("place", "level", F.ceil(F.col("total") / BLOCK_MEMBERS).cast("int").alias("parts")))
+    root, name = F.struct("rk", "rt"), F.xxhash64("k", "tie")
+    met = places.groupBy("place", "level").agg(
+        F.min(root).alias("low"), F.max(root).alias("high"), F.sum("n").alias("total"), F.count("*").alias("c"),
+        F.sum(name.cast("decimal(20,0)")).alias("p1"), F.sum(F.xxhash64(name, F.lit(1)).cast("decimal(20,0)")).alias("p2"),
+    )
+    met = met.filter("low != high").groupBy("level", "c", "p1", "p2").agg(F.min("place").alias("place"), F.max("total").alias("total"))
+    met = cut(met.select("place", "level", F.ceil(F.col("total") / BLOCK_MEMBERS).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("k", "tie"), F.col("parts")).cast("int")
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     pairs = F.transform(every, lambda other: F.struct(F.least(part, other).alias("i"), F.greatest(part, other).alias("j")))
     dealt = places.join(met, ["place", "level"]).select("place", "level", "k", "tie", F.explode(pairs).alias("pair"))
     full = dealt.join(flat, ["k", "tie"]).select("place", "level", "pair", "k", "tie", "n", "members", "rk", "rt")
     found = full.groupBy("place", "level", "pair").applyInArrow(lambda t: _tree_links(t, percent), "ak long, at long, bk long, bt long")
-    return cut(found.select(F.struct(F.col("ak").alias("k"), F.col("at").alias("tie")).alias("a"), F.struct(F.col("bk").alias("k"), F.col("bt").alias("tie")).alias("b")))
+    return _as_links(found)
+
+
+def _arrays(members) -> list[np.ndarray]:  # noqa: ANN001
+    """List column to one array per row."""
+    chunks = members.chunks if isinstance(members, pa.ChunkedArray) else [members]
+    out: list[np.ndarray] = []
+    for chunk in chunks:
+        values, ends = chunk.values.to_numpy().view(np.uint64), chunk.offsets.to_numpy()
+        out.extend(values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+    return out
 
 
 class _Node:
-    __slots__ = ("piece", "children", "ends", "least", "most", "some", "uniform")
+    __slots__ = ("piece", "children", "ends", "least", "most", "longest", "some", "uniform")
 
     def __init__(self, piece: np.ndarray) -> None:
         self.piece, self.children, self.ends = piece, {}, []
-        self.least, self.most, self.some, self.uniform = 1 << 62, 0, -1, True
+        # Smallest and largest set below, and the most members any of them has from the start of this piece on.
+        self.least, self.most, self.longest = 1 << 62, 0, 0
+        self.some, self.uniform = -1, True
 
 
 class PrefixTree:
@@ -280,45 +318,41 @@ class PrefixTree:
             node.uniform = all(c.uniform and self.find(c.some) == own for c in node.children.values()) and all(self.find(e) == own for e in node.ends)
         return node.uniform
 
-    def join(self, i: int, x: np.ndarray) -> list[int]:
-        """Sets within the threshold of ``x`` in other components, one or more of each; unites them with ``i``."""
-        found, n, t = [], len(x), self.percent
+    def join(self, i: int, x: np.ndarray, n: int) -> list[int]:
+        """Sets within the threshold of ``x`` (of size ``n``, members of its own included) in other components; unites them with ``i``."""
+        found, t = [], self.percent
         stack = [(self.root, 0)]
         while stack:
             node, overlap = stack.pop()
             if node.some < 0 or self._uniform(node) and self.find(node.some) == self.find(i):
                 continue
-            need, dead = -(-t * (n + node.least) // (100 + t)), False
             if 100 * node.most < t * n or 100 * n < t * node.least:
                 continue
-            rest_below = node.most
+            need, below = -(-t * (n + node.least) // (100 + t)), node.longest
             for low in range(0, len(node.piece), self.PIECE):
                 piece = node.piece[low : low + self.PIECE]
                 at = np.searchsorted(x, piece)
-                overlap += int((x[np.minimum(at, n - 1)] == piece).sum())
-                rest_below -= len(piece)
-                # What is left of x after this piece; sets below have at most rest_below members after it (their length
-                # above this node is not subtracted, which only loosens the bound).
-                if overlap + min(n - int(at[-1]), rest_below) < need:
-                    dead = True
+                overlap += int((x[np.minimum(at, len(x) - 1)] == piece).sum()) if len(x) else 0
+                below -= len(piece)
+                # After this piece x has len(x) - at[-1] members left, and a set below at most ``below``.
+                if overlap + min(len(x) - int(at[-1]), below) < need:
                     break
-            if dead:
-                continue
-            for e in node.ends:
-                if self.find(e) != self.find(i) and overlap * (100 + t) >= t * (n + self.sizes[e]):
-                    found.append(e)
-                    self.parent[self.find(e)] = self.find(i)
-            stack.extend((c, overlap) for c in node.children.values())
+            else:
+                for e in node.ends:
+                    if self.find(e) != self.find(i) and overlap * (100 + t) >= t * (n + self.sizes[e]):
+                        found.append(e)
+                        self.parent[self.find(e)] = self.find(i)
+                stack.extend((c, overlap) for c in node.children.values())
         return found
 
-    def add(self, i: int, x: np.ndarray) -> None:
-        node, self.sizes[i], at = self.root, len(x), 0
+    def add(self, i: int, x: np.ndarray, n: int) -> None:
+        node, self.sizes[i], at = self.root, n, 0
         self._note(node, i, len(x))
         while at < len(x):
             child = node.children.get(int(x[at]))
             if child is None:
                 child = node.children[int(x[at])] = _Node(x[at:])
-                self._note(child, i, len(x))
+                self._note(child, i, len(x) - at)
                 child.ends.append(i)
                 return
             m = min(len(child.piece), len(x) - at)
@@ -326,32 +360,33 @@ class PrefixTree:
             m = int(odd[0]) if len(odd) else m
             if m < len(child.piece):
                 upper = _Node(child.piece[:m])
-                upper.least, upper.most, upper.some, upper.uniform = child.least, child.most, child.some, child.uniform
-                child.piece = child.piece[m:]
+                upper.least, upper.most, upper.longest, upper.some, upper.uniform = child.least, child.most, child.longest, child.some, child.uniform
+                child.piece, child.longest = child.piece[m:], child.longest - m
                 upper.children[int(child.piece[0])] = child
                 node.children[int(x[at])] = child = upper
-            self._note(child, i, len(x))
+            self._note(child, i, len(x) - at)
             node, at = child, at + m
         node.ends.append(i)
 
-    def _note(self, node: _Node, i: int, n: int) -> None:
+    def _note(self, node: _Node, i: int, left: int) -> None:
         if node.some < 0:
             node.some = i
         elif node.uniform and self.find(node.some) != self.find(i):
             node.uniform = False
-        node.least, node.most = min(node.least, n), max(node.most, n)
+        n = self.sizes[i]
+        node.least, node.most, node.longest = min(node.least, n), max(node.most, n), max(node.longest, left)
 
 
 def _tree_links(table: pa.Table, percent: int) -> pa.Table:
     k, tie = table.column("k").to_numpy(), table.column("tie").to_numpy()
-    members = [np.frombuffer(m, np.uint64) for m in table.column("members").to_pylist()]
+    sizes, members = table.column("n").to_pylist(), _arrays(table.column("members"))
     groups: dict = {}
     labels = zip(table.column("rk").to_pylist(), table.column("rt").to_pylist(), strict=True)
     parent = [i if label[0] is None else groups.setdefault(label, i) for i, label in enumerate(labels)]
     tree, a, b = PrefixTree(percent, parent), [], []
     for i in np.lexsort((tie, k)).tolist():
-        for j in tree.join(i, members[i]):
+        for j in tree.join(i, members[i], sizes[i]):
             a.append(i)
             b.append(j)
-        tree.add(i, members[i])
+        tree.add(i, members[i], sizes[i])
     return pa.table({"ak": k[a], "at": tie[a], "bk": k[b], "bt": tie[b]} if a else {c: pa.array([], pa.int64()) for c in ("ak", "at", "bk", "bt")})

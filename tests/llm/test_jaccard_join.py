@@ -92,8 +92,8 @@ def test_tree_finds_every_component_link():
         return i
 
     for i, x in enumerate(sets):
-        tree.join(i, x)
-        tree.add(i, x)
+        tree.join(i, x, len(x))
+        tree.add(i, x, len(x))
         for j in range(i):
             both = len(np.intersect1d(x, sets[j]))
             if 100 * both >= 70 * (len(x) + len(sets[j]) - both):
