@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import jaccard_join, nearest, packing, substring_dedup, toxicity, url_rules
+from codeweft.llm import decontaminate, jaccard_join, nearest, packing, substring_dedup, toxicity, url_rules
 from codeweft.llm.words import training
 
 
@@ -77,6 +77,11 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return leaks.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "stop", "edits")
+
+
 def op3_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -136,6 +141,7 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
+    "op2_decontamination": (op2_decontamination, None),
     "op3_nearest": (op3_nearest, OP3_SQL),
     "op4_url_rules": (op4_url_rules, OP4_SQL),
     "op5_packing": (op5_packing, None),
