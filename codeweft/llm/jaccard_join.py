@@ -27,30 +27,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.llm.components import components
-from codeweft.llm.words import CHUNK_BYTES, LAST_ID, LOWER_BYTES, encode_words, keyed, mix, pack_arrays, rolling, text_chunks, unpack_arrays, within, word_hashes
+from codeweft.llm.words import CHUNK_BYTES, LAST_ID, LOWER_BYTES, encode_words, keyed, mix, pack_arrays, rolling, text_chunks, unpack_arrays, word_hashes
 from codeweft.session import cut
 
 #: Share of hash values counted in step 1 (members below 2**64 / COUNTED), and the members that one meeting's part may hold.
 COUNTED = 3
 BLOCK_MEMBERS = 1_000_000
-#: Text whose counted members make one bucket (about half a million).
-BUCKET_BYTES = 10_000_000
+#: Text whose counted members make one bucket (about two million).
+BUCKET_BYTES = 40_000_000
 SALTS = (0x2545F4914F6CDD1D, 0x6A09E667F3BCC909)
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """One row per input row: ``id, k, tie, n_shingles, root`` where ``root`` is the smallest ``(k, tie)`` reachable by links."""
-    rows = keyed(docs, id_col, text_col)
-    texts = rows.select("id", "k", "tie", "text")
+    """One row per input row: ``id, k, tie, n_shingles, root`` (id null for null ids) where ``root`` is the smallest ``(k, tie)`` reachable by links."""
+    texts = keyed(docs, id_col, text_col).select("k", "tie", "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    stage = cut(texts.mapInArrow(lambda it: _sets(it, width, buckets), "id long, k long, tie long, n long, counted long, s1 long, s2 long, bucket long, blob binary"))
-    single = stage.filter("blob is null").select("id", "k", "tie", "n", "counted", "s1", "s2")
+    dealt = texts.mapInArrow(lambda it: _sets(it, width, buckets), "bucket long, kind int, blob binary")
+    stage = cut(dealt.groupBy("bucket").applyInArrow(lambda t: _shared_members(t, buckets), f"{_DOCUMENT}, target long, blob binary"))
+    single = stage.filter("blob is null").select("k", "tie", "n", "counted", "s1", "s2")
     classes = single.filter("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("k", "tie")).alias("node"), F.max("n").alias("n"), F.max("counted").alias("counted"))
-    shared = stage.filter("blob is not null").groupBy("bucket").applyInArrow(_shared_members, "s1 long, s2 long, live long")
-    live = shared.groupBy("s1", "s2").agg(F.sum("live").alias("live"))
+    live = stage.filter("blob is not null").select("target", "blob").groupBy("target").applyInArrow(_sums, "s1 long, live long")
     spare = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100))
-    classes = cut(classes.join(live, ["s1", "s2"], "left").withColumn("open", F.col("counted") - F.least("counted", F.coalesce("live", F.lit(0))) <= spare))
+    classes = cut(classes.join(live, "s1", "left").withColumn("open", F.col("counted") - F.least("counted", F.coalesce("live", F.lit(0))) <= spare))
     sets = cut(_sets_of(texts, classes.filter("open").select("node.k", "node.tie"), width, percent))
     links = _meet_at_minimum(sets, percent)
     labels = components(links)
@@ -60,7 +59,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links.select("a", "b").unionByName(missing.select("a", "b")))
     found = classes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
     joined = single.join(found, ["s1", "s2"], "left")
-    return joined.select("id", "k", "tie", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.struct("k", "tie")).alias("root"))
+    id_ = F.when(F.col("k") != LAST_ID, F.col("k")).alias("id")
+    return joined.select(id_, "k", "tie", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.struct("k", "tie")).alias("root"))
 
 
 def component_id(root: str = "root"):  # noqa: ANN201
@@ -93,89 +93,96 @@ def _member_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
+_DOCUMENT = "k long, tie long, n long, counted long, s1 long, s2 long"
+_DOCUMENT_NAMES = ["k", "tie", "n", "counted", "s1", "s2"]
+
+
 def _sets(batches: Iterable[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    names = ["id", "k", "tie", "n", "counted", "s1", "s2", "bucket", "blob"]
-    limit = np.uint64((1 << 64) // COUNTED)
-    for table in text_chunks(batches):
+    """Blobs for the buckets: of kind 0 the chunk's documents, 1 counted members with their class, 2 sums settled here."""
+    limit, drop = np.uint64((1 << 64) // COUNTED), np.uint64(16)
+    for table in text_chunks(batches, limit=2 * CHUNK_BYTES):
         sets = _member_sets(table.column("text").to_pylist(), width)
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         # 48 bits are enough to count by: a chance match only lets a class stay for the exact steps.
-        few = [np.unique(s[: np.searchsorted(s, limit)] >> np.uint64(16)) for s in sets]
+        few = [np.unique(s[: np.searchsorted(s, limit)] >> drop) for s in sets]
+        sizes, counted = np.array([len(s) for s in sets], np.int64), np.array([len(f) for f in few], np.int64)
         s1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
         s2 = np.array([mix(s ^ np.uint64(SALTS[0])).sum(dtype=np.uint64) for s in sets], np.uint64)
-        rows = table.num_rows
-        yield pa.record_batch(
-            [table.column(c).combine_chunks() for c in ("id", "k", "tie")]
-            + [pa.array(sizes), pa.array([len(f) for f in few], pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary())],
-            names,
-        )
-        _, first = np.unique(np.stack([s1, s2]), axis=1, return_index=True)
-        members = np.concatenate([few[i] for i in first]) if len(first) else np.zeros(0, np.uint64)
-        if not len(members):
-            continue
-        owner = np.repeat(np.arange(len(first)), [len(few[i]) for i in first])
-        s1, s2 = s1[first], s2[first]
+        out = [(int(s1[0] % np.uint64(buckets)), 0, pack_arrays(table.column("k").to_numpy(), table.column("tie").to_numpy(), sizes, counted, s1, s2))]
+        _, first = np.unique(s1, return_index=True)
+        members, s1 = np.concatenate([few[i] for i in first]), s1[first]
+        del sets
+        owner = np.repeat(np.arange(len(first)), counted[first])
         order = np.argsort(members, kind="stable")
         members, owner = members[order], owner[order]
-        heads = np.flatnonzero(np.append(True, members[1:] != members[:-1]))
+        heads = np.flatnonzero(np.append(True, members[1:] != members[:-1])) if len(members) else np.zeros(0, np.int64)
         lengths = np.diff(np.append(heads, len(members)))
         several = lengths > 1
         # Members of several classes of this chunk are known to be shared: one row tells the others, the sums stay here.
         known = np.bincount(owner[np.repeat(several, lengths)], minlength=len(first))
         members, owner = members[heads], np.where(several, -1, owner[heads])
-        bucket = (members // ((limit >> np.uint64(16)) // np.uint64(buckets) + np.uint64(1))).astype(np.int64)
-        edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        group = _coarse(edges, len(bucket))
-        ids, blobs = [], []
-        for a, b in group:
+        bucket = (members // ((limit >> drop) // np.uint64(buckets) + np.uint64(1))).astype(np.int64)
+        edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True) if len(edges) else ():
             own = owner[a:b]
             used, which = np.unique(own[own >= 0], return_inverse=True)
             places = np.full(b - a, len(used), np.uint32)
             places[own >= 0] = which
-            ids.append(int(bucket[a]))
-            blobs.append(pack_arrays(np.diff(members[a:b], prepend=np.uint64(0)).astype(np.uint64).view(np.uint8).reshape(-1, 8).T, places.view(np.uint8).reshape(-1, 4).T, s1[used], s2[used], b""))
+            steps = np.diff(members[a:b], prepend=np.uint64(0)).astype(np.uint64)
+            out.append((int(bucket[a]), 1, pack_arrays(steps.view(np.uint8).reshape(-1, 8).T, places.view(np.uint8).reshape(-1, 4).T, s1[used])))
         some = np.flatnonzero(known)
         if len(some):
-            ids.append(int(s1[0] % np.uint64(buckets)))
-            blobs.append(pack_arrays(np.zeros(0), np.zeros(0), s1[some], s2[some], known[some].astype(np.int64).tobytes()))
-        n = len(ids)
-        yield pa.record_batch([pa.nulls(n, pa.int64())] * 7 + [pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names)
-
-
-def _coarse(edges: np.ndarray, end: int) -> list[tuple[int, int]]:
-    return list(zip(edges.tolist(), [*edges[1:].tolist(), end], strict=True))
-
-
-def _shared_members(table: pa.Table) -> pa.Table:
-    """Per class, how many of its counted members in this bucket belong to another class too."""
-    members, a, b, settled = [], [], [], []
-    for blob in table.column("blob").to_pylist():
-        deltas, places, s1, s2, known = unpack_arrays(blob, np.uint8, np.uint8, np.int64, np.int64, bytes)
-        if known:
-            settled.append((s1, s2, np.frombuffer(known, np.int64)))
-            continue
-        which = np.ascontiguousarray(places.reshape(4, -1).T).view(np.uint32).ravel()
-        members.append(np.cumsum(np.ascontiguousarray(deltas.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64))
-        # A row without class stands for several; its two names differ from those of all classes and from each other's.
-        a.append(np.append(s1, np.int64(-1))[which])
-        b.append(np.append(s2, np.int64(len(b)))[which])
+            out.append((int(s1[0] % np.uint64(buckets)), 2, pack_arrays(s1[some], known[some].astype(np.int64))))
+        yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], ["bucket", "kind", "blob"])
+
+
+def _shared_members(table: pa.Table, targets: int) -> pa.Table:
+    """The documents, and blobs of how many counted members of each class belong to another class too."""
+    documents, members, names, sums = [], [], [], []
+    for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
+        if kind == 0:
+            documents.append(np.stack(unpack_arrays(blob, *[np.int64] * 6)))
+        elif kind == 2:
+            sums.append(unpack_arrays(blob, np.int64, np.int64))
+        else:
+            steps, places, s1 = unpack_arrays(blob, np.uint8, np.uint8, np.int64)
+            which = np.ascontiguousarray(places.reshape(4, -1).T).view(np.uint32).ravel()
+            members.append(np.cumsum(np.ascontiguousarray(steps.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64))
+            # Several classes of one chunk have a stand-in, which differs from all names and other stand-ins.
+            names.append(np.append(s1, np.int64(-1 - len(names)))[which])
     if members:
-        members, a, b = np.concatenate(members), np.concatenate(a), np.concatenate(b)
-        order = np.lexsort((b, a, members))
-        members, a, b = members[order], a[order], b[order]
+        members, names = np.concatenate(members), np.concatenate(names)
+        order = np.lexsort((names, members))
+        members, names = members[order], names[order]
         fresh = np.ones(len(members), bool)
-        fresh[1:] = (members[1:] != members[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        members, a, b = members[fresh], a[fresh], b[fresh]
+        fresh[1:] = (members[1:] != members[:-1]) | (names[1:] != names[:-1])
+        members, names = members[fresh], names[fresh]
         alone = np.ones(len(members), bool)
         alone[1:] &= members[1:] != members[:-1]
         alone[:-1] &= members[:-1] != members[1:]
-        # A stand-in for several classes says that a class elsewhere is not the only one.
-        settled.append((a[~alone], b[~alone], np.ones(int((~alone).sum()), np.int64)))
-    if not settled:
-        return pa.table({"s1": pa.array([], pa.int64()), "s2": pa.array([], pa.int64()), "live": pa.array([], pa.int64())})
-    a, b, n = (np.concatenate([s[i] for s in settled]) for i in range(3))
-    pairs, where = np.unique(np.stack([a, b], axis=1), axis=0, return_inverse=True)
-    return pa.table({"s1": pairs[:, 0], "s2": pairs[:, 1], "live": np.bincount(where.ravel(), n, len(pairs)).astype(np.int64)})
+        sums.append([names[~alone], np.ones(int((~alone).sum()), np.int64)])
+    docs = np.concatenate(documents, axis=1) if documents else np.zeros((6, 0), np.int64)
+    names, live = _added(sums)
+    target = (names.view(np.uint64) % np.uint64(targets)).astype(np.int64)
+    order = np.argsort(target, kind="stable")
+    edges = np.searchsorted(target[order], np.arange(targets + 1))
+    parts = [(t, order[a:b]) for t, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+    blobs = [pack_arrays(names[rows], live[rows]) for _, rows in parts]
+    columns = [pa.concat_arrays([pa.array(c), pa.nulls(len(blobs), pa.int64())]) for c in docs]
+    columns.append(pa.concat_arrays([pa.nulls(docs.shape[1], pa.int64()), pa.array([t for t, _ in parts], pa.int64())]))
+    columns.append(pa.concat_arrays([pa.nulls(docs.shape[1], pa.binary()), pa.array(blobs, pa.binary())]))
+    return pa.table(columns, [*_DOCUMENT_NAMES, "target", "blob"])
+
+
+def _added(sums: list) -> tuple[np.ndarray, np.ndarray]:
+    if not sums:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    names, where = np.unique(np.concatenate([s[0] for s in sums]), return_inverse=True)
+    return names, np.bincount(where, np.concatenate([s[1] for s in sums]), len(names)).astype(np.int64)
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    names, live = _added([unpack_arrays(b, np.int64, np.int64) for b in table.column("blob").to_pylist()])
+    return pa.table({"s1": names, "live": live})
 
 
 def _sets_of(texts: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
@@ -250,29 +257,31 @@ def _as_links(found: DataFrame) -> DataFrame:
 def _meet_between_components(sets: DataFrame, percent: int) -> DataFrame:
     """Links between classes of different components, found at prefix members that several components share.
 
-    Members with the same classes are one meeting, whatever their number (a shared passage has many).
+    In a pair, the first shared member leaves the smaller set at least what two sets of its size need, so it lies in that set's
+    shorter prefix; places without such a set are no meeting. Places are gathered by the smallest of their classes, so a class
+    travels once for all members of a passage that it shares with the same others.
     """
     step = float(np.log(100 / percent)) if percent < 100 else 1.0
     flat = sets.select("node.k", "node.tie", F.col("root.k").alias("rk"), F.col("root.tie").alias("rt"), "n", "members")
     # Of the first n - ceil(t n) + 1 members, those of this class alone (n - size) come first and meet nobody.
+    own = F.col("n").cast("int") - F.size("members")
     take = F.size("members") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1
-    places = flat.select("k", "tie", "rk", "rt", "n", F.explode(F.slice("members", F.lit(1), take)).alias("place"))
+    places = flat.select("k", "tie", "rk", "rt", "n", own.alias("own"), F.posexplode(F.slice("members", F.lit(1), take)).alias("at", "place"))
+    short = F.col("own") + F.col("at") <= F.col("n") - F.ceil(2 * percent * F.col("n") / F.lit(100 + percent))
     # Sets within the threshold lie in the same length class or in neighbouring ones: a set joins its own and the next.
     level = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
-    places = places.withColumn("level", F.explode(F.array(level, level + 1)))
-    root, name = F.struct("rk", "rt"), F.xxhash64("k", "tie")
-    met = places.groupBy("place", "level").agg(
-        F.min(root).alias("low"), F.max(root).alias("high"), F.sum("n").alias("total"), F.count("*").alias("c"),
-        F.sum(name.cast("decimal(20,0)")).alias("p1"), F.sum(F.xxhash64(name, F.lit(1)).cast("decimal(20,0)")).alias("p2"),
-    )
-    met = met.filter("low != high").groupBy("level", "c", "p1", "p2").agg(F.min("place").alias("place"), F.max("total").alias("total"))
-    met = cut(met.select("place", "level", F.ceil(F.col("total") / BLOCK_MEMBERS).cast("int").alias("parts")))
+    places = places.select("k", "tie", "rk", "rt", "n", "place", short.alias("short"), F.explode(F.array(level, level + 1)).alias("level"))
+    root, node = F.struct("rk", "rt"), F.struct("k", "tie")
+    met = places.groupBy("place", "level").agg(F.min(root).alias("low"), F.max(root).alias("high"), F.max("short").alias("short"), F.min(node).alias("home"))
+    met = met.filter("low != high and short").select("place", "level", "home")
+    meetings = cut(places.join(met, ["place", "level"]).select("home", "level", "k", "tie", "n").distinct())
+    parts = meetings.groupBy("home", "level").agg(F.ceil(F.sum("n") / BLOCK_MEMBERS).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("k", "tie"), F.col("parts")).cast("int")
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     pairs = F.transform(every, lambda other: F.struct(F.least(part, other).alias("i"), F.greatest(part, other).alias("j")))
-    dealt = places.join(met, ["place", "level"]).select("place", "level", "k", "tie", F.explode(pairs).alias("pair"))
-    full = dealt.join(flat, ["k", "tie"]).select("place", "level", "pair", "k", "tie", "n", "members", "rk", "rt")
-    found = full.groupBy("place", "level", "pair").applyInArrow(lambda t: _tree_links(t, percent), "ak long, at long, bk long, bt long")
+    dealt = meetings.join(parts, ["home", "level"]).select("home", "level", "k", "tie", F.explode(pairs).alias("pair"))
+    full = dealt.join(flat, ["k", "tie"]).select("home", "level", "pair", "k", "tie", "n", "members", "rk", "rt")
+    found = full.groupBy("home", "level", "pair").applyInArrow(lambda t: _tree_links(t, percent), "ak long, at long, bk long, bt long")
     return _as_links(found)
 
 
