@@ -33,8 +33,8 @@ from codeweft.session import cut
 #: Share of hash values counted in step 1 (members below 2**64 / COUNTED), and the members that one meeting's part may hold.
 COUNTED = 3
 BLOCK_MEMBERS = 1_000_000
-#: Text whose counted members make one bucket (about two million).
-BUCKET_BYTES = 40_000_000
+#: Text whose counted members make one bucket (about a million).
+BUCKET_BYTES = 20_000_000
 SALTS = (0x2545F4914F6CDD1D, 0x6A09E667F3BCC909)
 
 
@@ -100,7 +100,7 @@ _DOCUMENT_NAMES = ["k", "tie", "n", "counted", "s1", "s2"]
 def _sets(batches: Iterable[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Blobs for the buckets: of kind 0 the chunk's documents, 1 counted members with their class, 2 sums settled here."""
     limit, drop = np.uint64((1 << 64) // COUNTED), np.uint64(16)
-    for table in text_chunks(batches, limit=2 * CHUNK_BYTES):
+    for table in text_chunks(batches):
         sets = _member_sets(table.column("text").to_pylist(), width)
         # 48 bits are enough to count by: a chance match only lets a class stay for the exact steps.
         few = [np.unique(s[: np.searchsorted(s, limit)] >> drop) for s in sets]
