@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import decontaminate, jaccard_join, license_scan, nearest, packing, substring_dedup, toxicity, url_rules
+from codeweft.llm import decontaminate, jaccard_join, lattice_lm, license_scan, nearest, packing, substring_dedup, toxicity, url_rules
 from codeweft.llm.words import training
 
 
@@ -67,6 +67,13 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component
 FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots ON s = doc_id
 """
 
+def op7_lattice_lm(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    scored = lattice_lm.score_texts(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), group_col="lang")
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = license_scan.scan(_table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "license", "coverage", "matched", "words", "start", "stop")
@@ -151,6 +158,7 @@ QUERIES = {
     "op4_url_rules": (op4_url_rules, OP4_SQL),
     "op5_packing": (op5_packing, None),
     "op10_jaccard_join": (op10_jaccard_join, OP10_SQL),
+    "op7_lattice_lm": (op7_lattice_lm, None),
     "op8_license_scan": (op8_license_scan, None),
     "op9_toxicity": (op9_toxicity, None),
 }

@@ -1,0 +1,104 @@
+from __future__ import annotations
+
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from codeweft.llm import lattice_lm
+
+PATH = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def segmentations(word, known, at=0):
+    if at == len(word):
+        yield []
+    for end in range(at + 1, min(len(word), at + lattice_lm.LONGEST) + 1):
+        if word[at:end] in known or end == at + 1:
+            for rest in segmentations(word, known, end):
+                yield [word[at:end], *rest]
+
+
+def test_forward_and_expected_equal_enumeration():
+    import sentencepiece
+
+    pieces = lattice_lm.Pieces(PATH)
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    names = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)) and model.get_score(i) > -1e8]
+    known = {t: i for i, t in enumerate(names)}
+    stop = np.array([0.2])
+    for word in ["the", "tion", "ß", "a", "日ñ€x", "theres", "\U0001f600\U0010ffff"]:
+        total, uses = 0.0, Counter()
+        for parts in segmentations("▁" + word, known):
+            p = 0.2
+            for x in parts:
+                p *= 0.8 * (pieces.prior[known[x]] if x in known else (lattice_lm.BYTES_MASS / 256) ** len(x.encode()))
+            total += p
+            for x in parts:
+                uses[x] += p
+        got = lattice_lm.spell(pieces, [word.encode()], pieces.prior[None, :], stop)[0, 0]
+        assert math.isclose(got, math.log(total), rel_tol=1e-9)
+        counts = lattice_lm.Lattice(pieces, [word]).expected(lattice_lm._logs(pieces.prior[None, :]), np.log(0.8), np.log(0.2), np.ones((1, 1)))[0]
+        for x, p in uses.items():
+            if x in known:
+                assert math.isclose(counts[known[x]], p / total, rel_tol=1e-7)
+
+
+def corpus(n):
+    r = random.Random(1)
+    kinds = {"a": ["th", "er", "on", "ing"], "b": ["ci", "ñ", "os", "ta"]}
+    rows = []
+    for i in range(n):
+        lang = r.choice(list(kinds))
+        words = ["".join(r.choices(kinds[lang], k=r.randint(1, 4))) + r.choice(["", "."]) for _ in range(r.randint(0, 60))]
+        rows.append((i, " ".join(words).capitalize(), lang))
+    return rows
+
+
+@pytest.mark.parametrize("group, frequent", [(None, 50_000), ("lang", 20)])
+def test_counts_base_and_gain_on_held_out_texts(spark, monkeypatch, group, frequent):
+    monkeypatch.setattr(lattice_lm, "FREQUENT", frequent)
+    monkeypatch.setattr(lattice_lm, "BUCKET_WORDS", 60)
+    rows = [*corpus(300), (1000, None, None), (1001, "", "c"), (None, "Ther", "a"), (1002, "x" * 3000, "b")]
+    rows.append(rows[5])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("word", F.lit(1)).withColumn("k", F.lit(1)).repartition(3)
+    got = lattice_lm.score_texts(docs, PATH, group_col=group).collect()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    words = lambda t: [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in (t or "").split(" ") if w] + [None]
+    counts = Counter(w for i, t, _ in rows if not held(i) for w in words(t))
+    n, v = sum(counts.values()), len(counts)
+    want = {}
+    for i, t, _ in rows:
+        want[i] = (held(i), len(words(t)), sum(counts[w] > 0 for w in words(t)), n, sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words(t)))
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.id][:4]
+        assert math.isclose(r.base_score, want[r.id][4], rel_tol=1e-9)
+        assert -1e6 < r.score < 0
+    total = lambda c: sum(r[c] for r in got if r.held_out)
+    if group:
+        assert total("score") > total("base_score")
+
+
+def test_probabilities_of_words_sum_to_one_at_most(spark):
+    pieces = lattice_lm.Pieces(PATH)
+    letters = [chr(c) for c in range(97, 123)]
+    words = [a.encode() for a in letters] + [(a + b).encode() for a in letters for b in letters]
+    model = {"tokens": 100, "types": 3, "groups": [{"n": 100, "discount": 0.5, "spare": 0.5 * 3 / 100, "end": 10}], "pieces": {"p": pieces.prior[None, :], "stop": np.array([0.3])}}
+    counts = np.zeros((1, len(words)))
+    counts[0, :2] = [60, 30]
+    _, _, logs = lattice_lm._word_scores(pieces, words, counts, model)
+    assert 0.8 < (10 ** logs[0]).sum() + 9.5 / 100 <= 1
+
+
+def test_no_training_rows_and_empty_table(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string").filter("doc_id < 0")
+    assert lattice_lm.score_texts(docs, PATH).count() == 0
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    row = lattice_lm.score_texts(spark.createDataFrame([(held, "a b")], "doc_id long, text string"), PATH).first()
+    assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0) and row.score < 0
