@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import decontaminate, jaccard_join, lattice_lm, license_scan, nearest, packing, substring_dedup, toxicity, url_rules
+from codeweft.llm import decontaminate, html_text, jaccard_join, lattice_lm, license_scan, nearest, packing, substring_dedup, toxicity, url_rules
 from codeweft.llm.words import training
 
 
@@ -67,6 +67,11 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component
 FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots ON s = doc_id
 """
 
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_text.extract(_table(spark, folder, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op7_lattice_lm(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -158,6 +163,7 @@ QUERIES = {
     "op4_url_rules": (op4_url_rules, OP4_SQL),
     "op5_packing": (op5_packing, None),
     "op10_jaccard_join": (op10_jaccard_join, OP10_SQL),
+    "op6_html_text": (op6_html_text, None),
     "op7_lattice_lm": (op7_lattice_lm, None),
     "op8_license_scan": (op8_license_scan, None),
     "op9_toxicity": (op9_toxicity, None),

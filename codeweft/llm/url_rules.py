@@ -52,11 +52,11 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
     expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    expanded = rows.select("at", F.explode(F.array_distinct(expressions)).alias("expression"))
+    expanded = rows.select("at", "row", "host", "path", F.explode_outer(F.array_distinct(expressions)).alias("expression"))
     expanded = expanded.withColumn("digest", F.sha2(F.col("expression").cast("binary"), 256)).withColumn("short", F.substring("digest", 1, 8))
-    matched = expanded.join(broadcast_if_small(listed).withColumnRenamed("digest", "whole"), "short").filter("digest = whole")
-    best = matched.groupBy("at").agg(F.max("found").alias("found"))
-    judged = rows.join(best, "at", "left")
+    matched = expanded.join(broadcast_if_small(listed).withColumnRenamed("digest", "whole"), "short", "left")
+    found = F.when(F.col("digest") == F.col("whole"), F.col("found"))
+    judged = matched.groupBy("at").agg(F.first("row").alias("row"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(found).alias("found"))
     return judged.select(
         *[F.col("row").getField(c).alias(c) for c in columns], F.col("host").alias("url_host"), F.col("path").alias("url_path"),
         F.col("found.rule").alias("url_rule"), F.coalesce("found.verdict", F.lit(default)).alias("url_verdict"),
