@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,6 +158,7 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
     "op2_decontamination": (op2_decontamination, None),
     "op3_nearest": (op3_nearest, OP3_SQL),

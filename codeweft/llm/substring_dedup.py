@@ -14,7 +14,7 @@ rows with the same id and different texts are documents ordered by a hash of the
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import compress
 
 import numpy as np
@@ -34,16 +34,23 @@ HOT_BIT = np.uint64(1 << 63)
 SALT = np.uint64(0x51ED2701)
 
 
-def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, seed: int = 4) -> DataFrame:
+def remove_repeated_windows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, seed: int = 4, carry: Sequence[str] = ()
+) -> DataFrame:
     """Every input row with the words covered by a window that starts earlier elsewhere taken out.
 
-    Returns ``id, text, n_words, n_removed, kept``; ``kept`` holds the remaining words joined by one space (equal to the
-    words of ``text`` when none goes).
+    Returns ``id, text, n_words, n_removed, kept`` and the columns named in ``carry``; ``kept`` holds the remaining words
+    joined by one space (the words of ``text`` when none goes).
     """
-    rows = keyed(docs, id_col, text_col)
+    carried = F.struct(*[docs[c] for c in carry]) if carry else F.lit(0)
+    rows = keyed(docs, id_col, text_col, carried)
     marks = repeated_spans(rows, width, seed).groupBy("k", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    schema = "id long, text string, n_words long, n_removed long, kept string"
-    return rows.join(marks, ["k", "tie"], "left").select("id", "text", "spans").mapInArrow(_cut, schema)
+    joined = rows.join(marks, ["k", "tie"], "left").select("id", "text", "row", "spans")
+    schema = joined.select("id", "text", "row").schema
+    for name in ("n_words", "n_removed"):
+        schema = schema.add(name, "long")
+    cut_out = joined.mapInArrow(_cut, schema.add("kept", "string"))
+    return cut_out.select("id", "text", "n_words", "n_removed", "kept", *[F.col("row").getField(c).alias(c) for c in carry])
 
 
 def with_digest(kept: DataFrame) -> DataFrame:
@@ -291,6 +298,6 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_removed.append(n_words[-1] - len(words))
             kept.append(b" ".join(words).decode())
         yield pa.record_batch(
-            [table.column("id").combine_chunks(), texts.combine_chunks().cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
-            ["id", "text", "n_words", "n_removed", "kept"],
+            [table.column("id").combine_chunks(), texts.combine_chunks().cast(pa.string()), table.column("row").combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
+            ["id", "text", "row", "n_words", "n_removed", "kept"],
         )

@@ -89,8 +89,11 @@ def _fit(table: pa.Table) -> dict:
     for i in single:
         (in_toxic if y[i] else in_clean).update({names[c] for c in np.unique(codes[first[i] : first[i] + counts[i]]).tolist()})
     n_toxic, n_clean = sum(bool(y[i]) for i in single), sum(not y[i] for i in single)
-    odds = {w: float(np.log((c + 0.5) / (n_toxic + 1)) - np.log((in_clean[w] + 0.5) / (n_clean + 1))) for w, c in in_toxic.items() if w and c >= max(3, n_toxic // 100)}
-    known = sorted((w for w in odds if odds[w] >= 2.0), key=lambda w: (-odds[w] * in_toxic[w], w))[:MOST_WORDS]
+    odds = {w: float(np.log((c + 0.5) / (n_toxic + 1)) - np.log((in_clean[w] + 0.5) / (n_clean + 1))) for w, c in in_toxic.items() if w}
+    # A word counts if chance gives its toxic share to no more than a tenth of a word among all words tried (Chernoff bound).
+    sure, share = np.log(10 * len(in_toxic.keys() | in_clean.keys())), n_toxic / (n_toxic + n_clean)
+    known = [w for w in odds if odds[w] >= 1.5 and _surprise(in_toxic[w], in_clean[w], share) >= sure]
+    known = sorted(known, key=lambda w: (-odds[w] * in_toxic[w], w))[:MOST_WORDS]
     if not known:
         return _plain(int(y.sum()), len(y))
     place = {w: i for i, w in enumerate(known)}
@@ -104,6 +107,12 @@ def _fit(table: pa.Table) -> dict:
     return model
 
 
+def _surprise(toxic: int, clean: int, share: float) -> float:
+    """Negative logarithm of the bound on seeing at least so many toxic documents among those with the word."""
+    rate = toxic / (toxic + clean)
+    return toxic * np.log(rate / share) + (clean * np.log((1 - rate) / (1 - share)) if clean else 0.0)
+
+
 def _some_of_both(y: np.ndarray, single: np.ndarray, most: int) -> list[int]:
     toxic, clean = single[y[single]], single[~y[single]]
     return sorted([*toxic[: most // 2].tolist(), *clean[: most - most // 2].tolist()])

@@ -33,14 +33,14 @@ def training(key: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts != 0
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, k, tie, text)``: ``(k, tie)`` orders documents by id (null last), then by a hash of the text.
+def keyed(docs: DataFrame, id_col: str, text_col: str, row: Column | None = None) -> DataFrame:
+    """``(id, k, tie, text)`` and ``row``, if given: ``(k, tie)`` orders documents by id (null last), then by a hash of the text.
 
     Rows that share id and text share the key and are one document; a null text is empty.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     key = docs[id_col].cast("long")
-    return docs.select(key.alias("id"), F.coalesce(key, F.lit(LAST_ID)).alias("k"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    return docs.select(key.alias("id"), F.coalesce(key, F.lit(LAST_ID)).alias("k"), F.xxhash64(text).alias("tie"), text.alias("text"), *([] if row is None else [row.alias("row")]))
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
