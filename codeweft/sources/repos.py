@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions import text as t
-from codeweft.session import cut
+from codeweft.session import broadcast_if_small, cut
 
 # The default filters of an ingest request.
 INCLUDE_GLOBS = ["**/*.*"]
@@ -35,26 +36,41 @@ def _filesystem(location: str):
     return fs.FileSystem.from_uri(location) if "://" in location else (fs.LocalFileSystem(), location)
 
 
-def _list_folders(folders: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_LISTED = "repo_path string, exclude array<string>, path string, is_folder boolean, size long"
+
+
+def _never_entered(root: str, folder: str, exclude: Iterable[str]) -> bool:
+    """Whether some exclude pattern drops every path below ``folder``: it ends in a star, and the rest matches the folder."""
+    from fnmatch import fnmatchcase
+
+    below = folder.rstrip("/")[len(root.rstrip("/")) + 1 :] + "/"
+    return any(pattern.endswith("*") and fnmatchcase(below, pattern.rstrip("*")) for pattern in exclude)
+
+
+def _list_folders(folders: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import os
 
     from pyarrow import fs
 
     for batch in folders:
-        for root, location in zip(batch["repo_path"], batch["path"]):
+        for row in batch.to_pylist():
+            root, exclude, location = row["repo_path"], row["exclude"], row["path"]
             system, bare = _filesystem(location)
             scheme = location[: len(location) - len(bare)] if "://" in location else ""
             found = system.get_file_info(fs.FileSelector(bare))
             local = isinstance(system, fs.LocalFileSystem)
             # Links to folders are not followed: they may lead in circles.
             found = [f for f in found if f.type == fs.FileType.File or not (local and os.path.islink(f.path))]
-            yield pd.DataFrame(
-                {
-                    "repo_path": [root] * len(found),
-                    "path": [scheme + f.path for f in found],
-                    "is_folder": [f.type == fs.FileType.Directory for f in found],
-                    "size": pd.array([f.size if f.size is not None else 0 for f in found], dtype="int64"),
-                }
+            found = [f for f in found if f.type != fs.FileType.Directory or not _never_entered(root, scheme + f.path, exclude)]
+            yield pa.record_batch(
+                [
+                    pa.array([root] * len(found), pa.string()),
+                    pa.array([exclude] * len(found), pa.list_(pa.string())),
+                    pa.array([scheme + f.path for f in found], pa.string()),
+                    pa.array([f.type == fs.FileType.Directory for f in found], pa.bool_()),
+                    pa.array([f.size if f.size is not None else 0 for f in found], pa.int64()),
+                ],
+                ["repo_path", "exclude", "path", "is_folder", "size"],
             )
 
 
@@ -68,23 +84,26 @@ def _read_files(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield one.assign(content=[stream.read().decode("utf-8", errors="ignore")])
 
 
-def scan_repos(roots: DataFrame) -> DataFrame:
+def scan_repos(roots: DataFrame, exclude: Iterable[str] = ()) -> DataFrame:
     """(repo_path, path, file_path, size) of every file below the given repo_path rows, one folder level per job.
 
-    Spark's own file sources skip empty files and names that start with an underscore, which source trees are full of.
+    Folders of which ``exclude`` (or a row's own ``exclude`` list) drops everything are not entered. Spark's own file sources
+    skip empty files and names that start with an underscore, which source trees are full of.
     """
     tasks = roots.sparkSession.sparkContext.defaultParallelism
-    folders = roots.select("repo_path", F.regexp_replace("repo_path", r"(?<=[^/])/+\z", "").alias("path")).distinct()
+    default = F.array(*[F.lit(p) for p in exclude]).cast("array<string>")
+    own = F.coalesce("exclude", default) if "exclude" in roots.columns else default
+    folders = roots.select("repo_path", own.alias("exclude"), F.regexp_replace("repo_path", r"(?<=[^/])/+\z", "").alias("path")).distinct()
     files = None
     while True:
-        listed = cut(folders.mapInPandas(_list_folders, "repo_path string, path string, is_folder boolean, size long"))
+        listed = cut(folders.mapInArrow(_list_folders, _LISTED))
         level = listed.where(~F.col("is_folder"))
         files = level if files is None else files.unionByName(level)
-        folders = listed.where("is_folder").select("repo_path", "path").repartition(tasks, "path")
+        folders = listed.where("is_folder").select("repo_path", "exclude", "path").repartition(tasks, "path")
         if folders.isEmpty():
             break
     start = F.length(F.regexp_replace("repo_path", r"/+\z", "")) + 2
-    return files.select("repo_path", "path", F.substring(F.col("path"), start, F.length("path")).alias("file_path"), "size")
+    return files.select("repo_path", "path", F.substring(F.col("path"), start, F.length("path")).alias("file_path"), "size").distinct()
 
 
 def read_contents(files: DataFrame, bytes_per_task: int = 64 * 1024 * 1024) -> DataFrame:
@@ -96,15 +115,51 @@ def read_contents(files: DataFrame, bytes_per_task: int = 64 * 1024 * 1024) -> D
     return files.repartition(tasks, "path").mapInPandas(_read_files, f"{columns}, content string")
 
 
+FILTERS = ("include", "exclude", "languages")
+
+
 def read_documents(
     roots: DataFrame,
     include: Iterable[str] = INCLUDE_GLOBS,
     exclude: Iterable[str] = EXCLUDE_GLOBS,
     languages: Iterable[str] = LANGUAGES,
 ) -> DataFrame:
-    """(repo_id, file_path, language, content) of the source files below the repo_path rows; only kept files are opened."""
-    text = read_contents(language_filter(glob_filter(scan_repos(roots), include, exclude), languages))
-    return text.select(repo_id_of(F.col("repo_path")).alias("repo_id"), "file_path", "language", "content")
+    """(repo_id, file_path, language, content) of the source files below the repo_path rows; only kept files are opened.
+
+    A row may bring its own filters in array columns ``include``, ``exclude`` and ``languages``; null means the default.
+    Each distinct set of filters is one expression. A repo asked for with several sets gives the files of all of them.
+    """
+    own = [c for c in FILTERS if c in roots.columns]
+    found = scan_repos(roots, exclude)
+    if not own:
+        kept = language_filter(glob_filter(found, include, exclude), languages)
+    else:
+        defaults = {"include": list(include), "exclude": list(exclude), "languages": list(languages)}
+        sets = [r.asDict() for r in roots.select(*own).distinct().collect()]
+        same = [[F.col(c).eqNullSafe(_words(one[c])) for c in own] for one in sets]
+        number = F.lit(None).cast("int")
+        for i, tests in enumerate(same):
+            number = F.when(_all(tests), i).otherwise(number)
+        asked = roots.select("repo_path", number.alias("filters")).distinct()
+        found = found.join(broadcast_if_small(asked), "repo_path")
+        path, keep = F.col("file_path"), F.lit(None).cast("string")
+        for i, own_set in enumerate(sets):
+            use = {c: own_set.get(c) if own_set.get(c) is not None else defaults[c] for c in FILTERS}
+            language = F.when(t.matches_any(path, use["include"]) & ~t.matches_any(path, use["exclude"]), t.supported_language(path, use["languages"]))
+            keep = F.when(F.col("filters") == i, language).otherwise(keep)
+        kept = found.withColumn("language", keep).where(F.col("language").isNotNull()).drop("filters").distinct()
+    return read_contents(kept).select(repo_id_of(F.col("repo_path")).alias("repo_id"), "file_path", "language", "content")
+
+
+def _words(values: list[str] | None) -> Column:
+    return F.lit(None).cast("array<string>") if values is None else F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def _all(tests: list[Column]) -> Column:
+    out = F.lit(True)
+    for test in tests:
+        out = out & test
+    return out
 
 
 def repo_id_of(repo_path: Column) -> Column:
