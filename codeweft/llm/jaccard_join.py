@@ -35,6 +35,7 @@ COUNTED = 3
 BLOCK_MEMBERS = 1_000_000
 #: Text whose counted members make one bucket (about a million).
 BUCKET_BYTES = 20_000_000
+WORDS_AT_ONCE = 1 << 20
 SALTS = (0x2545F4914F6CDD1D, 0x6A09E667F3BCC909)
 
 
@@ -82,14 +83,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
 
 def _member_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
-    codes, counts, vocabulary = encode_words(t.translate(LOWER_BYTES) for t in texts)
-    values = word_hashes(vocabulary)[codes] if vocabulary else np.zeros(0, np.uint64)
-    grams, first, out = rolling(values, width), np.cumsum(counts) - counts, []
-    for at, n in zip(first.tolist(), counts.tolist(), strict=True):
-        if n >= width:
-            out.append(np.unique(grams[at : at + n - width + 1]))
-        else:
-            out.append(mix(rolling(values[at : at + n], n) + np.uint64(n)) if n else np.zeros(0, np.uint64))
+    """Sorted distinct n-gram hashes of every text; words become Python objects for about WORDS_AT_ONCE bytes at a time."""
+    out: list[np.ndarray] = []
+    low = 0
+    while low < len(texts):
+        high, size = low, 0
+        while high < len(texts) and (high == low or size + len(texts[high]) <= WORDS_AT_ONCE):
+            size += len(texts[high])
+            high += 1
+        codes, counts, vocabulary = encode_words(t.translate(LOWER_BYTES) for t in texts[low:high])
+        values = word_hashes(vocabulary)[codes] if vocabulary else np.zeros(0, np.uint64)
+        grams, first = rolling(values, width), np.cumsum(counts) - counts
+        for at, n in zip(first.tolist(), counts.tolist(), strict=True):
+            if n >= width:
+                out.append(np.unique(grams[at : at + n - width + 1]))
+            else:
+                out.append(mix(rolling(values[at : at + n], n) + np.uint64(n)) if n else np.zeros(0, np.uint64))
+        low = high
     return out
 
 
