@@ -1,27 +1,29 @@
 """BM25 keyword search over an inverted index held as plain tables.
 
-``postings(repo_id, id, n_tokens, term, tf)`` carries each document's length, so scoring needs no third join.
+``postings(repo_id, id, n_tokens, terms, tfs)`` has one row per document, so a document is scored where it is read.
 ``term_stats(repo_id, term, df, idf, avg_len)`` has one row per term.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import search_tokens
-from codeweft.session import broadcast_if_small, cut, spread
+from codeweft.operators.batch_search import TIE_DECIMALS, TILE_CELLS, BestRows, batch_search, result_table
+from codeweft.session import BROADCAST_BYTES, broadcast_if_small, cut, spread
 
 # Fixed values of the ranking function.
 K1 = 1.5
 B = 0.75
 EPSILON = 0.25
 
-# Scores equal to this many decimals are ties: the order in which partial sums meet is not fixed on a cluster.
-TIE_DECIMALS = 9
-
 
 @dataclass
 class KeywordIndex:
@@ -30,12 +32,23 @@ class KeywordIndex:
 
 
 def postings(documents: DataFrame) -> DataFrame:
-    """(repo_id, id, text) to one row per document and term; counts are combined map-side before the one shuffle."""
+    """(repo_id, id, text) to one row per document: (repo_id, id, n_tokens, terms, tfs). A map; nothing shuffles."""
     tokens = spread(documents, "id").select("repo_id", "id", search_tokens(F.col("text")).alias("tokens"))
-    # The length is taken before the explode, or every exploded row would carry the whole token array.
-    measured = tokens.withColumn("n_tokens", F.size("tokens"))
-    exploded = measured.select("repo_id", "id", "n_tokens", F.explode("tokens").alias("term"))
-    return exploded.groupBy("repo_id", "id", "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
+    kind = dict(documents.dtypes)["id"]
+    return tokens.mapInArrow(_count_terms, f"repo_id string, id {kind}, n_tokens int, terms array<string>, tfs array<int>")
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(2)
+        sizes = np.diff(lists.offsets.to_numpy())
+        coded = lists.flatten().dictionary_encode()
+        width = max(1, len(coded.dictionary))
+        pairs, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * width + coded.indices.to_numpy(), return_counts=True)
+        offsets = np.searchsorted(pairs // width, np.arange(len(sizes) + 1)).astype(np.int32)
+        terms = pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(pairs % width)))
+        tfs = pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32)))
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), terms, tfs], ["repo_id", "id", "n_tokens", "terms", "tfs"])
 
 
 def term_stats(documents: DataFrame, index_postings: DataFrame) -> DataFrame:
@@ -44,9 +57,8 @@ def term_stats(documents: DataFrame, index_postings: DataFrame) -> DataFrame:
     The postings are read once, for the vocabulary; corpus size, mean length and mean idf are aggregates of that much
     smaller table (documents without any token still count for the corpus size).
     """
-    vocabulary = cut(
-        index_postings.groupBy("repo_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    )
+    each = index_postings.select("repo_id", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("repo_id", "t.terms", "t.tfs")
+    vocabulary = cut(each.groupBy("repo_id", F.col("terms").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("tfs").alias("total")))
     counts = documents.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_docs"))
     lengths = vocabulary.groupBy("repo_id").agg(F.sum("total").alias("n_tokens"))
     corpus = counts.join(lengths, "repo_id").select("repo_id", "n_docs", (F.col("n_tokens") / F.col("n_docs")).alias("avg_len"))
@@ -73,22 +85,66 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def bm25_scores(index: KeywordIndex, queries: DataFrame) -> DataFrame:
-    """Score of every (query, document) pair that shares a term."""
+def query_weights(index: KeywordIndex, queries: DataFrame) -> DataFrame:
+    """(query_id, repo_id, term, weight, avg_len) of every query term that the index knows."""
     terms = query_terms(queries)
-    weights = terms.join(index.term_stats, ["repo_id", "term"]).select(
-        "query_id", "repo_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avg_len"
-    )
-    # Each query term meets at most one statistics row, so the terms bound the weights. Past the limit the join
-    # shuffles on (repo_id, term) and adaptive execution splits the terms that hold most postings.
-    weights = broadcast_if_small(weights, size_of=terms)
-    saturation = F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_len"))
-    gain = F.col("weight") * F.col("tf") * (K1 + 1) / saturation
-    return (
-        index.postings.join(weights, ["repo_id", "term"])
-        .groupBy("query_id", "repo_id", "id")
-        .agg(F.sum(gain).alias("score"))
-    )
+    asked = broadcast_if_small(terms)
+    return index.term_stats.join(asked, ["repo_id", "term"]).select("query_id", "repo_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avg_len")
+
+
+class _BestDocuments:
+    """Best k documents per query: a document is one row, so its score is whole inside the task."""
+
+    def __init__(self, asked: pa.Table, k: int) -> None:
+        self.query_type, self.id_type, self.repos, self.best = asked.schema.field("query_id").type, pa.null(), {}, {}
+        names = np.asarray(asked["repo_id"].to_pylist(), dtype=object)
+        for repo in set(names):
+            own = asked.filter(pa.array(names == repo))
+            query_ids, query = np.unique(own["query_id"].to_numpy(), return_inverse=True)
+            terms = own["term"].combine_chunks().dictionary_encode()
+            order = np.argsort(terms.indices.to_numpy(), kind="stable")
+            starts = np.searchsorted(terms.indices.to_numpy()[order], np.arange(len(terms.dictionary) + 1))
+            weights = own["weight"].to_numpy()[order]
+            self.repos[repo] = (terms.dictionary, starts, query[order], weights, own["avg_len"][0].as_py())
+            self.best[repo] = BestRows(query_ids, k)
+
+    def add(self, rows: pa.Table) -> None:
+        names = np.asarray(rows["repo_id"].to_pylist(), dtype=object)
+        self.id_type = rows.schema.field("id").type
+        for repo in set(names) & set(self.repos):
+            here = np.flatnonzero(names == repo)
+            wide = max(1, TILE_CELLS // len(self.best[repo].query_ids))
+            for low in range(0, len(here), wide):
+                self._tile(repo, rows.take(pa.array(here[low : low + wide])).combine_chunks())
+
+    def _tile(self, repo: str, rows: pa.Table) -> None:
+        vocabulary, starts, query, weight, avg_len = self.repos[repo]
+        lists = rows["terms"].combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        known = pc.index_in(lists.flatten(), value_set=vocabulary)
+        hit = known.is_valid().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(sizes)), sizes)[hit]
+        term = known.drop_null().to_numpy()
+        tf = rows["tfs"].combine_chunks().flatten().to_numpy()[hit].astype(float)
+        gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * rows["n_tokens"].to_numpy()[row] / avg_len))
+        scores = np.zeros((len(self.best[repo].query_ids), len(sizes)))
+        shared = np.zeros(scores.shape, bool)
+        times = np.diff(starts)[term]
+        ends = np.cumsum(times)
+        low = 0
+        while low < len(term):
+            # A bounded number of (posting, query) products at a time.
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + TILE_CELLS, side="right")))
+            n = times[low:high]
+            at = np.repeat(starts[term[low:high]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            cell = (query[at], np.repeat(row[low:high], n))
+            np.add.at(scores, cell, weight[at] * np.repeat(gain[low:high], n))
+            shared[cell] = True
+            low = high
+        self.best[repo].offer(scores, rows["id"].to_numpy(), shared & (scores > 0))
+
+    def result(self) -> pa.Table:
+        return result_table(self.best, self.query_type, self.id_type)
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -97,6 +153,12 @@ def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25_search(index: KeywordIndex, queries: DataFrame, k: int = 8) -> DataFrame:
-    """Top k documents per query: (query_id, repo_id, id, score, rank). Scores of zero or less are dropped."""
-    return top_k(bm25_scores(index, queries).where(F.col("score") > 0), k)
+def bm25_search(index: KeywordIndex, queries: DataFrame, k: int = 8, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Top k documents per query: (query_id, repo_id, id, score, rank). Scores of zero or less are dropped.
+
+    Every task scores its documents against the queries and hands on k rows per query; no table of pairs is made.
+    """
+    weights = query_weights(index, queries)
+    kinds = {**dict(weights.dtypes), "id": dict(index.postings.dtypes)["id"]}
+    schema = f"query_id {kinds['query_id']}, repo_id string, id {kinds['id']}, score double"
+    return top_k(batch_search(index.postings, "id", weights, lambda asked: _BestDocuments(asked, k), schema, limit), k)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -55,16 +56,33 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Upper estimate of the in-memory size of ``df``, measured by one aggregate (nothing is collected)."""
-    width = F.lit(16 * len(df.columns))
-    for name, dtype in df.dtypes:
-        if dtype == "string":
-            width = width + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
-        elif dtype.startswith("array"):
-            width = width + F.coalesce(F.size(F.col(f"`{name}`")), F.lit(0)) * 32
+    """Estimate of the size of ``df`` as Arrow or as broadcast rows, measured by one aggregate (nothing is collected)."""
+    width = F.lit(0).cast("long")
+    for field in df.schema:
+        width = width + _width(F.col(f"`{field.name}`"), field.dataType)
     return df.agg(F.sum(width)).first()[0] or 0
 
 
+def _width(value: Column, kind: T.DataType) -> Column:
+    """Bytes of one value; nested values are sized by what they hold."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.lit(16) + F.coalesce(F.octet_length(value), F.lit(0)).cast("long")
+    if isinstance(kind, T.ArrayType):
+        if not isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType | T.MapType | T.StructType):
+            return F.lit(16) + F.coalesce(F.size(value), F.lit(0)).cast("long") * 8
+        own = F.aggregate(value, F.lit(0).cast("long"), lambda sum_, x: sum_ + _width(x, kind.elementType))
+        return F.lit(16) + F.coalesce(own, F.lit(0))
+    if isinstance(kind, T.MapType):
+        keys, values = T.ArrayType(kind.keyType), T.ArrayType(kind.valueType)
+        return _width(F.map_keys(value), keys) + _width(F.map_values(value), values)
+    if isinstance(kind, T.StructType):
+        out = F.lit(8).cast("long")
+        for field in kind:
+            out = out + _width(value[field.name], field.dataType)
+        return out
+    return F.lit(16).cast("long")
+
+
 def broadcast_if_small(df: DataFrame, size_of: DataFrame | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only when the measured size is under ``limit``; otherwise leave the join to shuffle.
 
