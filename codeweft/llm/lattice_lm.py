@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.words import LAST_ID, LOWER_BYTES, encode_words, pack_arrays, text_chunks, training, unpack_arrays
+from codeweft.llm.words import LAST_ID, LOWER_BYTES, encode_words, mix, pack_arrays, text_chunks, training, unpack_arrays
 from codeweft.session import cut
 
 FREQUENT = 50_000
@@ -105,8 +105,7 @@ class Pieces:
         hashes = np.array([self._hash(t) for t in texts], np.uint64)
         self.bits = 20
         self.slots, self.keys = np.full(1 << self.bits, -1, np.int32), hashes
-        for i, h in enumerate(hashes.tolist()):
-            at = h >> (64 - self.bits)
+        for i, at in enumerate(self._slot(hashes).tolist()):
             while self.slots[at] >= 0:
                 at = (at + 1) % len(self.slots)
             self.slots[at] = i
@@ -118,9 +117,12 @@ class Pieces:
             h = (h * int(BASE) + ord(c) + 1) % (1 << 64)
         return h
 
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (mix(hashes) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece numbers of substring hashes; ``count`` where there is none."""
-        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        at = self._slot(hashes)
         out = np.full(hashes.shape, self.count, np.int32)
         flat, where, wanted = out.reshape(-1), np.arange(hashes.size), hashes.reshape(-1)
         at = at.reshape(-1)
