@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeweft.catalog import extraction, graph, questions, resolution, search, streams, suggestion, text
+from codeweft.catalog import classes, extraction, graph, questions, resolution, search, stored, streams, suggestion, text
 
-_MODULES = [search, text, graph, resolution, suggestion, extraction, questions, streams]
+_MODULES = [search, text, graph, resolution, suggestion, extraction, questions, streams, stored, classes]
 
 
 def all_queries() -> dict:

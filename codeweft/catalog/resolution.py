@@ -44,10 +44,6 @@ def resolve_edges(spark, sf_dir):
     return resolve.resolve_edges(d.part_relations(spark, sf_dir), d.part_symbols(spark, sf_dir)).select("src_id", "dst_id", "type")
 
 
-def read_symbols(spark, sf_dir):
-    return d.part_symbols(spark, sf_dir).drop("p_partkey", "repo_id")
-
-
 def _event_log(spark, sf_dir):
     return d.read(spark, sf_dir, "events").select(
         F.col("user_id").alias("session_id"), F.struct("ts", "event_id").alias("seq"), F.col("event_type").alias("symbol"), "event_id"
@@ -157,10 +153,6 @@ QUERIES = {
         _RESOLVE
         + f"SELECT DISTINCT src_id, dst_id, rel_type AS type FROM ({_ALL} 0 AS z FROM res) WHERE src_id <> dst_id",
     ),
-    "read_symbols": (
-        read_symbols,
-        d.with_ctes(d.SYMBOLS_CTE) + "SELECT * EXCLUDE (p_partkey, repo_id) FROM symbols",
-    ),
     "recent_symbols": (recent_symbols(100), f"SELECT * FROM ({_LOG}) WHERE age <= 100"),
     "recent_symbols_30": (recent_symbols(30), f"SELECT * FROM ({_LOG}) WHERE age <= 30"),
     "session_boosts": (session_boosts(100), _boost_sql(100)),

@@ -138,6 +138,29 @@ windows AS (
   SELECT file_path, i AS position, array_to_string(tokens[i * {step} + 1 : i * {step} + {size}], ' ') AS text
   FROM (SELECT file_path, tokens, unnest(range(1 + greatest(len(tokens) - {over} - 1, 0) // {step})) AS i FROM files WHERE len(tokens) > 0))
 """
+# A chunk is units [start, stop): it stops at the first unit that no longer fits, and the next one re-reads at most 80 words.
+_SENTENCES = r"""
+sentences AS (
+  SELECT source || '/doc' || doc_id || '.py' AS file_path,
+         regexp_extract_all(text, '[^.!?。！？\n]*[.!?。！？\n]+[ \t\n\x0B\f\r]*|[^.!?。！？\n]+') AS s FROM documents),
+units AS (
+  SELECT file_path, flatten(list_transform(s, lambda x: CASE WHEN len(regexp_extract_all(x, '[^ \t\n\x0B\f\r]+')) > 700
+           THEN regexp_extract_all(x, '[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*') ELSE [x] END)) AS u FROM sentences),
+sized AS (SELECT *, len(u) AS n, list_transform(u, lambda x: len(regexp_extract_all(x, '[^ \t\n\x0B\f\r]+'))) AS z FROM units WHERE len(u) > 0),
+summed AS (SELECT *, list_transform(range(n + 1), lambda i: coalesce(list_sum(z[1:i]), 0)::BIGINT) AS p FROM sized),
+pack AS (
+  SELECT file_path, 0 AS k, 0::BIGINT AS start,
+         list_filter(range(1, n), lambda j: p[j + 1] > 0 AND p[j + 2] > 700)[1] AS stop FROM summed
+  UNION ALL
+  SELECT file_path, k + 1, start, list_filter(range(stop + 1, n), lambda j: p[j + 1] - p[start + 1] > 0 AND p[j + 2] - p[start + 1] > 700)[1]
+  FROM (SELECT a.file_path, k, n, p, stop,
+               list_filter(range(start + 1, stop + 1), lambda j: p[stop + 1] - p[j + 1] <= least(80, 700 - z[stop + 1]) OR j = stop)[1] AS start
+        FROM pack a JOIN summed b ON a.file_path = b.file_path WHERE stop IS NOT NULL)),
+chunks AS (
+  SELECT file_path, k, trim(array_to_string(u[start + 1 : coalesce(stop, n)], ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text
+  FROM pack JOIN summed USING (file_path))
+SELECT file_path, (row_number() OVER (PARTITION BY file_path ORDER BY k) - 1)::INTEGER AS position, text FROM chunks WHERE text <> ''
+"""
 _PATHS = r"""paths AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '\?.*$', '') AS file_path FROM pages)"""
 _CODE = (
     _PATHS
@@ -257,5 +280,5 @@ QUERIES = {
         d.with_ctes(_WINDOWS.format(size=200, over=20, step=180))
         + "SELECT file_path, count(*) AS n, sha1(string_agg(text, '|' ORDER BY position)) AS digest FROM windows GROUP BY file_path",
     ),
-    "sentence_chunks": (sentence_chunks, None),
+    "sentence_chunks": (sentence_chunks, "WITH RECURSIVE " + _SENTENCES),
 }
