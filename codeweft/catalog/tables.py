@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions import text as t
+from codeweft.operators.chunking import number_rows
 from codeweft.operators.fusion import embed
 
 REPO = "corpus"
@@ -61,10 +62,10 @@ def document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
 
     def chain(group: str, kind: str) -> DataFrame:
-        following = F.lead("doc_id").over(Window.partitionBy(group).orderBy("doc_id"))
-        return docs.select(
-            repo("doc_id"), F.col("doc_id").alias("src_id"), following.alias("dst_id"), F.lit(kind).alias("type")
-        ).where(F.col("dst_id").isNotNull())
+        # Ordinals instead of a window over the group: the largest group is spread over many tasks.
+        placed = number_rows(docs.select(F.col(group).alias("of"), "doc_id"), ["doc_id"], group="of").select("of", "doc_id", "ordinal")
+        after = placed.select("of", F.col("doc_id").alias("dst_id"), (F.col("ordinal") - 1).alias("ordinal"))
+        return placed.join(after, ["of", "ordinal"]).select(repo("doc_id"), F.col("doc_id").alias("src_id"), "dst_id", F.lit(kind).alias("type"))
 
     return chain("source", "CALLS").unionByName(chain("lang", "IMPORTS"))
 

@@ -104,6 +104,7 @@ def symbol_hint(message: Column) -> Column:
 def path_endpoints(message: Column) -> Column:
     """Struct (from_symbol, to_symbol): English phrase, Chinese phrase, first two words, one word twice, or blanks."""
     text = strip(F.coalesce(message, F.lit("")))
+    # The two phrases that name both ends.
     english = rf"(?i)from\s+({SYMBOL_WORD})\s+to\s+({SYMBOL_WORD})"
     chinese = rf"从\s*({SYMBOL_WORD})\s*到\s*({SYMBOL_WORD})"
     words = F.regexp_extract_all(text, F.lit(SYMBOL_WORD), F.lit(0))
@@ -167,6 +168,6 @@ def supported_language(path: Column, enabled: Iterable[str]) -> Column:
 def module_name(path: Column) -> Column:
     """Dotted module name: slashes become dots, then each known extension is stripped once, in this fixed order."""
     name = F.translate(path, "/", ".")
-    for extension in ["py", "ts", "tsx", "js", "jsx", "mjs", "cjs"]:
+    for extension in [e for extensions in LANGUAGE_EXTENSIONS.values() for e in extensions]:
         name = F.regexp_replace(name, rf"\.{extension}\z", "")
     return name

@@ -17,20 +17,26 @@ def collect(df, *columns):
     return [tuple(row[c] for c in columns) for row in df.collect()]
 
 
-def test_search_tokens_match_python(spark):
-    texts = ["def Save_Order(x1): return 42", "größe ñandú a b_c __init__ x", "", "1.5 ab2 İstanbul 日本 x日本"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.search_tokens(F.col("t")).alias("k"))
-    for row in df.collect():
-        if "İ" not in row.t:
-            assert row.k == re.findall(r"[A-Za-z_]\w+|\d+", row.t.lower())
+def test_search_tokens(spark):
+    cases = {
+        "def Save_Order(x1): return 42": ["def", "save_order", "x1", "return", "42"],
+        "größe ñandú a b_c __init__ x": ["größe", "andú", "b_c", "__init__"],
+        "": [],
+        "1.5 ab2 日本 x日本": ["1", "5", "ab2", "x日本"],
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", text.search_tokens(F.col("t")).alias("k"))
+    assert {row.t: row.k for row in df.collect()} == cases
 
 
-def test_identifier_pieces_match_python(spark):
-    names = ["shop.HTTPServer2.do_GET", "camelCaseName", "", "x__y.Z9z"]
-    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", text.identifier_pieces(F.col("n")).alias("p"))
-    pattern = r"[A-Za-z][a-z]*|[A-Z]+(?=[A-Z][a-z]|\b)|\d+"
-    for row in df.collect():
-        assert row.p == [p.lower() for p in re.findall(pattern, row.n.replace(".", " ").replace("_", " "))]
+def test_identifier_pieces(spark):
+    cases = {
+        "shop.HTTPServer2.do_GET": ["shop", "h", "t", "t", "p", "server", "2", "do", "g", "e", "t"],
+        "camelCaseName": ["camel", "case", "name"],
+        "": [],
+        "x__y.Z9z": ["x", "y", "z", "9", "z"],
+    }
+    df = spark.createDataFrame([(n,) for n in cases], "n string").select("n", text.identifier_pieces(F.col("n")).alias("p"))
+    assert {row.n: row.p for row in df.collect()} == cases
 
 
 @pytest.mark.parametrize("pattern", ["**/*.*", "**/.git/**", "a?c/*.py", "[ab]/*", "[!ab]/x.[jt]s", "no.match", "we[ird", "a/^b$(1)+.py"])
@@ -86,14 +92,14 @@ def test_partial_ratio_against_brute_force():
 
 
 def test_fuzzy_suggestion_against_brute_force(spark, symbols):
-    queries = spark.createDataFrame([("q1", "saveor"), ("q2", "run"), ("q3", "  "), ("q4", "shop.desk.take")], "query_id string, query string")
+    queries = spark.createDataFrame([("q1", "totlup"), ("q2", "run"), ("q3", "  "), ("q4", "shop.desk.take")], "query_id string, query string")
     queries = queries.withColumn("repo_id", F.lit(symbols.first().repo_id))
     got = suggest.suggest(queries, symbols, top_n=5)
     blocks = suggest.suggest(queries, symbols, top_n=5, limit=-1)
     columns = ("query_id", "rank", "qualified_name", "id", "score")
     assert sorted(collect(got, *columns)) == sorted(collect(blocks, *columns))
     rows = symbols.collect()
-    for query_id, query in [("q1", "saveor"), ("q2", "run"), ("q4", "shop.desk.take")]:
+    for query_id, query in [("q1", "totlup"), ("q2", "run"), ("q4", "shop.desk.take")]:
         scored = []
         for s in rows:
             q, n, low = s.qualified_name, s.name, query.lower()
@@ -231,3 +237,46 @@ def test_registry_keeps_latest(spark):
     first = repos.register_repos(None, paths)
     again = repos.register_repos(first, spark.createDataFrame([("/c", 5)], "repo_path string, seq int"))
     assert sorted(collect(again, "repo_path", "seq")) == [("/a/b", 2), ("/c", 5)]
+
+
+def test_top_n_of_a_row_and_prefixes_of_either_name(spark, symbols):
+    repo = symbols.first().repo_id
+    rows = [("a", repo, "SHOP.", "prefix", 2), ("b", repo, "run", "prefix", None), ("c", repo, "run", "fuzzy", 1)]
+    queries = spark.createDataFrame(rows, "query_id string, repo_id string, query string, mode string, top_n int")
+    got = suggest.suggest(queries, symbols, top_n=3).collect()
+    counts = {q: sum(r.query_id == q for r in got) for q in "abc"}
+    assert counts == {"a": 2, "b": 2, "c": 1}
+    assert {r.qualified_name for r in got if r.query_id == "b"} == {"a.tool.run", "b.tool.run"}
+
+
+@pytest.mark.parametrize("kind", ["array<string>", "map<string,double>", "array<double>", "struct<a:string,b:array<string>>", "array<map<string,int>>", "string"])
+def test_measured_bytes_follow_arrow(spark, kind):
+    from codeweft.session import measured_bytes
+
+    value = {
+        "array<string>": [f"word{i}" for i in range(40)], "map<string,double>": {f"key{i}": 0.5 for i in range(100)}, "array<double>": [0.5] * 300,
+        "struct<a:string,b:array<string>>": ("x" * 50, ["abcdef"] * 30), "array<map<string,int>>": [{f"k{i}": i for i in range(9)}] * 12, "string": "y" * 400,
+    }[kind]
+    df = spark.createDataFrame([(value,)] * 500, f"v {kind}").coalesce(1)
+    real = df.toArrow().nbytes
+    assert real / 2 <= measured_bytes(df) <= 4 * real
+
+
+def test_salts_follow_the_count_of_a_hot_key(spark):
+    big = spark.range(1000).select(F.when(F.col("id") < 900, 1).otherwise(F.col("id")).alias("key"), "id")
+    other = spark.createDataFrame([(1, "a"), (950, "b")], "key long, v string")
+    hot = joins.hot_keys(big, ["key"], hot_rows=100)
+    assert [(r.key, r._salts) for r in hot.collect()] == [(1, 9)]
+    assert joins.spread_join(big, other, ["key"], hot, ["id"]).count() == 901
+
+
+def test_keyword_blocks_equal_broadcast(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.lit("r").alias("repo_id"), F.col("doc_id").alias("id"), "text")
+    asked = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.lit("r").alias("repo_id"), F.col("text").alias("query"))
+    index = keyword.build_keyword_index(docs)
+    columns = ("query_id", "id", "rank")
+    small = collect(keyword.bm25_search(index, asked, 5), *columns)
+    assert small and sorted(small) == sorted(collect(keyword.bm25_search(index, asked, 5, limit=-1), *columns))
+    plan = keyword.bm25_search(index, asked, 5)._jdf.queryExecution().executedPlan().toString()
+    # Nothing is exchanged by (query, document): the only shuffle is that of the best rows per query.
+    assert "hashpartitioning(query_id" in plan and not re.search(r"hashpartitioning\(query_id[^)]*\bid#", plan)
