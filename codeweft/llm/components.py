@@ -8,16 +8,23 @@ from pyspark.sql import functions as F
 from codeweft.session import cut
 
 
-def components(links: DataFrame) -> DataFrame:
+def stored(df: DataFrame, parts: int) -> DataFrame:
+    """``cut`` into ``parts`` files. Small tables of many tiny files cost a process start per file on plain file systems."""
+    return cut(df.repartition(parts))
+
+
+def components(links: DataFrame, parts: int = 8) -> DataFrame:
     """``node, root`` for every node of ``links(a, b)``: the root is the component's smallest node.
 
+    ``parts`` is the number of files of each step's table.
+
     Alternating stars: each step hangs a node's larger (then smaller) neighbours below its smallest one, until every node
     points at its root. A step is two joins on nodes; its result is a table, so lineage does not grow.
     """
-    edges = cut(_ordered(links))
+    edges = stored(_ordered(links), parts)
     print_of = _print(edges)
     while print_of[0]:
-        edges = cut(_star(_star(edges, larger=True), larger=False))
+        edges = stored(_star(_star(edges, larger=True), larger=False), parts)
         now = _print(edges)
         if now == print_of:
             break

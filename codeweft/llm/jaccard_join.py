@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.components import components
+from codeweft.llm.components import components, stored
 from codeweft.llm.words import CHUNK_BYTES, LAST_ID, LOWER_BYTES, encode_words, keyed, mix, pack_arrays, rolling, text_chunks, unpack_arrays, word_hashes
 from codeweft.session import cut
 
@@ -35,6 +35,8 @@ COUNTED = 3
 BLOCK_MEMBERS = 1_000_000
 #: Text whose counted members make one bucket (about a million).
 BUCKET_BYTES = 20_000_000
+#: Text per file of the small tables (links, classes, members of those that may have partners).
+FILE_BYTES = 100_000_000
 WORDS_AT_ONCE = 1 << 20
 SALTS = (0x2545F4914F6CDD1D, 0x6A09E667F3BCC909)
 
@@ -43,21 +45,21 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: ``id, k, tie, n_shingles, root`` (id null for null ids) where ``root`` is the smallest ``(k, tie)`` reachable by links."""
     texts = keyed(docs, id_col, text_col).select("k", "tie", "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-size // BUCKET_BYTES))
+    buckets, files = max(1, -(-size // BUCKET_BYTES)), max(2, -(-size // FILE_BYTES))
     dealt = texts.mapInArrow(lambda it: _sets(it, width, buckets), "bucket long, kind int, blob binary")
     stage = cut(dealt.groupBy("bucket").applyInArrow(lambda t: _shared_members(t, buckets), f"{_DOCUMENT}, target long, blob binary"))
     single = stage.filter("blob is null").select("k", "tie", "n", "counted", "s1", "s2")
     classes = single.filter("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("k", "tie")).alias("node"), F.max("n").alias("n"), F.max("counted").alias("counted"))
     live = stage.filter("blob is not null").select("target", "blob").groupBy("target").applyInArrow(_sums, "s1 long, live long")
     spare = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100))
-    classes = cut(classes.join(live, "s1", "left").withColumn("open", F.col("counted") - F.least("counted", F.coalesce("live", F.lit(0))) <= spare))
-    sets = cut(_sets_of(texts, classes.filter("open").select("node.k", "node.tie"), width, percent))
-    links = _meet_at_minimum(sets, percent)
-    labels = components(links)
+    classes = stored(classes.join(live, "s1", "left").withColumn("open", F.col("counted") - F.least("counted", F.coalesce("live", F.lit(0))) <= spare), files)
+    sets = stored(_sets_of(texts, classes.filter("open").select("node.k", "node.tie"), width, percent, files), files)
+    links = _meet_at_minimum(sets, percent, files)
+    labels = components(links, files)
     labelled = sets.join(labels, sets["node"] == labels["node"], "left").select(sets["node"], "n", "members", F.coalesce("root", sets["node"]).alias("root"))
-    labelled = cut(labelled)
-    missing = _meet_between_components(labelled, percent)
-    roots = components(links.select("a", "b").unionByName(missing.select("a", "b")))
+    labelled = stored(labelled, files)
+    missing = _meet_between_components(labelled, percent, files)
+    roots = components(links.select("a", "b").unionByName(missing.select("a", "b")), files)
     found = classes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
     joined = single.join(found, ["s1", "s2"], "left")
     id_ = F.when(F.col("k") != LAST_ID, F.col("k")).alias("id")
@@ -195,13 +197,13 @@ def _sums(table: pa.Table) -> pa.Table:
     return pa.table({"s1": names, "live": live})
 
 
-def _sets_of(texts: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
+def _sets_of(texts: DataFrame, wanted: DataFrame, width: int, percent: int, files: int) -> DataFrame:
     """``node, n, members``: members that several wanted classes share, by rising frequency; classes with too few of them go.
 
     A member is 5 bits for its frequency (half-octaves) and 58 of its hash, so ascending numbers are the global order. Members
     of one class only stand before all others in it and are just counted (``n`` minus the length of ``members``).
     """
-    wanted = cut(wanted.withColumn("cid", F.monotonically_increasing_id()))
+    wanted = stored(wanted.withColumn("cid", F.monotonically_increasing_id()), files)
     texts = _probably_in(texts, wanted)
     own = texts.join(wanted, ["k", "tie"]).groupBy("k", "tie", "cid").agg(F.first("text").alias("text"))
 
@@ -236,7 +238,7 @@ def _probably_in(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return marked.join(F.broadcast(bits), "word").filter(F.col("bits").bitwiseAND(bit) != 0).drop("slot", "word", "bits")
 
 
-def _meet_at_minimum(sets: DataFrame, percent: int) -> DataFrame:
+def _meet_at_minimum(sets: DataFrame, percent: int, files: int) -> DataFrame:
     """Links among classes with the same smallest member under other orders; large meetings are split, two pivots join the parts."""
 
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +250,7 @@ def _meet_at_minimum(sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.record_batch([pa.array(np.array(least, np.uint64).view(np.int64)), k, tie, n], ["place", "k", "tie", "n"])
 
     flat = sets.select("node.k", "node.tie", "n", "members")
-    places = cut(flat.mapInArrow(keys, "place long, k long, tie long, n long"))
+    places = stored(flat.mapInArrow(keys, "place long, k long, tie long, n long"), files)
     met = places.groupBy("place").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.min(F.struct("k", "tie")).alias("low"), F.max(F.struct("k", "tie")).alias("high"))
     met = met.filter("c > 1").withColumn("parts", F.ceil(F.col("total") / BLOCK_MEMBERS).cast("int"))
     node = F.struct("k", "tie")
@@ -257,14 +259,14 @@ def _meet_at_minimum(sets: DataFrame, percent: int) -> DataFrame:
     dealt = places.join(met, "place").select("k", "tie", "place", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)).alias("part"))
     full = dealt.join(flat, ["k", "tie"]).select("place", "part", "k", "tie", "n", "members", F.lit(None).cast("long").alias("rk"), F.lit(None).cast("long").alias("rt"))
     found = full.groupBy("place", "part").applyInArrow(lambda t: _tree_links(t, percent), "ak long, at long, bk long, bt long")
-    return _as_links(found)
+    return _as_links(found, files)
 
 
-def _as_links(found: DataFrame) -> DataFrame:
-    return cut(found.select(F.struct(F.col("ak").alias("k"), F.col("at").alias("tie")).alias("a"), F.struct(F.col("bk").alias("k"), F.col("bt").alias("tie")).alias("b")))
+def _as_links(found: DataFrame, files: int) -> DataFrame:
+    return stored(found.select(F.struct(F.col("ak").alias("k"), F.col("at").alias("tie")).alias("a"), F.struct(F.col("bk").alias("k"), F.col("bt").alias("tie")).alias("b")), files)
 
 
-def _meet_between_components(sets: DataFrame, percent: int) -> DataFrame:
+def _meet_between_components(sets: DataFrame, percent: int, files: int) -> DataFrame:
     """Links between classes of different components, found at prefix members that several components share.
 
     In a pair, the first shared member leaves the smaller set at least what two sets of its size need, so it lies in that set's
@@ -284,7 +286,7 @@ def _meet_between_components(sets: DataFrame, percent: int) -> DataFrame:
     root, node = F.struct("rk", "rt"), F.struct("k", "tie")
     met = places.groupBy("place", "level").agg(F.min(root).alias("low"), F.max(root).alias("high"), F.max("short").alias("short"), F.min(node).alias("home"))
     met = met.filter("low != high and short").select("place", "level", "home")
-    meetings = cut(places.join(met, ["place", "level"]).select("home", "level", "k", "tie", "n").distinct())
+    meetings = stored(places.join(met, ["place", "level"]).select("home", "level", "k", "tie", "n").distinct(), files)
     parts = meetings.groupBy("home", "level").agg(F.ceil(F.sum("n") / BLOCK_MEMBERS).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("k", "tie"), F.col("parts")).cast("int")
     every = F.sequence(F.lit(0), F.col("parts") - 1)
@@ -292,7 +294,7 @@ def _meet_between_components(sets: DataFrame, percent: int) -> DataFrame:
     dealt = meetings.join(parts, ["home", "level"]).select("home", "level", "k", "tie", F.explode(pairs).alias("pair"))
     full = dealt.join(flat, ["k", "tie"]).select("home", "level", "pair", "k", "tie", "n", "members", "rk", "rt")
     found = full.groupBy("home", "level", "pair").applyInArrow(lambda t: _tree_links(t, percent), "ak long, at long, bk long, bt long")
-    return _as_links(found)
+    return _as_links(found, files)
 
 
 def _arrays(members) -> list[np.ndarray]:  # noqa: ANN001
