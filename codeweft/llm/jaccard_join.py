@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.llm.components import components, stored
+from codeweft.llm.keys import maybe_in
 from codeweft.llm.words import CHUNK_BYTES, LAST_ID, LOWER_BYTES, encode_words, keyed, mix, pack_arrays, rolling, text_chunks, unpack_arrays, word_hashes
 from codeweft.session import cut
 
@@ -204,7 +205,7 @@ def _sets_of(texts: DataFrame, wanted: DataFrame, width: int, percent: int, file
     of one class only stand before all others in it and are just counted (``n`` minus the length of ``members``).
     """
     wanted = stored(wanted.withColumn("cid", F.monotonically_increasing_id()), files)
-    texts = _probably_in(texts, wanted)
+    texts = maybe_in(texts, wanted).filter("maybe").drop("maybe")
     own = texts.join(wanted, ["k", "tie"]).groupBy("k", "tie", "cid").agg(F.first("text").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,16 +229,6 @@ def _sets_of(texts: DataFrame, wanted: DataFrame, width: int, percent: int, file
     return kept.select(F.struct("k", "tie").alias("node"), "n", "members")
 
 
-def _probably_in(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``texts`` whose key may be wanted: a bitmap of 2**26 bits (at most 2**20 broadcast rows) spares the shuffle of other texts."""
-    slot = F.pmod(F.xxhash64("k", "tie"), F.lit(1 << 26))
-    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
-    word = F.floor(F.col("slot") / 64).cast("int")
-    bits = wanted.select(slot.alias("slot")).select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    marked = texts.withColumn("slot", slot).withColumn("word", word)
-    return marked.join(F.broadcast(bits), "word").filter(F.col("bits").bitwiseAND(bit) != 0).drop("slot", "word", "bits")
-
-
 def _meet_at_minimum(sets: DataFrame, percent: int, files: int) -> DataFrame:
     """Links among classes with the same smallest member under other orders; large meetings are split, two pivots join the parts."""
 

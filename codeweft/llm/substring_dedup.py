@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.llm.keys import maybe_in
 from codeweft.llm.words import encode_words, keyed, mix, pack_arrays, ranges, rolling, text_chunks, unpack_arrays, within, word_hashes
 from codeweft.session import cut
 
@@ -44,8 +45,13 @@ def remove_repeated_windows(
     """
     carried = F.struct(*[docs[c] for c in carry]) if carry else F.lit(0)
     rows = keyed(docs, id_col, text_col, carried)
-    marks = repeated_spans(rows, width, seed).groupBy("k", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = rows.join(marks, ["k", "tie"], "left").select("id", "text", "row", "spans")
+    spans = cut(repeated_spans(rows, width, seed))
+    marks = spans.groupBy("k", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    # Most documents repeat nothing: they are finished where they are read, only the others travel to their spans.
+    split = maybe_in(rows, spans)
+    none = F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("spans")
+    joined = split.filter("maybe").join(marks, ["k", "tie"], "left").select("id", "text", "row", "spans")
+    joined = joined.unionByName(split.filter("not maybe").select("id", "text", "row", none))
     schema = joined.select("id", "text", "row").schema
     for name in ("n_words", "n_removed"):
         schema = schema.add(name, "long")
