@@ -35,6 +35,8 @@ ROUNDS = 3
 #: Rare distinct words of one bucket; longest piece looked for; prior weight in pieces; mass of bytes for unknown characters.
 BUCKET_WORDS = 300_000
 LONGEST = 16
+#: Words of a group that a task spells together; few at a time would spend most time between array operations.
+WORDS_AT_ONCE = 50_000
 PRIOR = 1_000.0
 BYTES_MASS = 0.01
 SLICE = 4_096
@@ -248,19 +250,24 @@ def _add(table: pa.Table) -> pa.Table:
 def _expect(batches: Iterable[pa.RecordBatch], columns: list[str], path: str, state) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     pieces, (p, stop) = Pieces(path), state.value
     counts, types = np.zeros((len(columns), pieces.count + 1)), np.zeros(len(columns))
+    waiting: list[list[bytes]] = [[] for _ in columns]
+
+    def fit(d: int) -> None:
+        logs, going, ending = _logs(p[d : d + 1]), np.log1p(-stop[d]), np.log(stop[d])
+        for _, texts in by_length(waiting[d]):
+            counts[d] += Lattice(pieces, texts).expected(logs, going, ending, np.ones((1, len(texts))))[0]
+        types[d] += len(waiting[d])
+        waiting[d] = []
+
     for batch in batches:
-        words = batch.column(batch.schema.get_field_index("word")).to_pylist()
-        weight = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() > 0 for c in columns]).astype(float)
-        types += weight.sum(axis=1)
-        for at, texts in by_length(words):
-            lattice = Lattice(pieces, texts)
-            for d in range(len(columns)):
-                # Most words occur in one group only.
-                mine = np.flatnonzero(weight[d, at])
-                if not len(mine):
-                    continue
-                own = lattice if len(mine) == len(at) else Lattice(pieces, [texts[i] for i in mine])
-                counts[d] += own.expected(_logs(p[d : d + 1]), np.log1p(-stop[d]), np.log(stop[d]), np.ones((1, len(mine))))[0]
+        words = batch.column(batch.schema.get_field_index("word"))
+        for d, column in enumerate(columns):
+            seen = pa.array(batch.column(batch.schema.get_field_index(column)).to_numpy() > 0)
+            waiting[d] += words.filter(seen).to_pylist()
+            if len(waiting[d]) >= WORDS_AT_ONCE:
+                fit(d)
+    for d in range(len(columns)):
+        fit(d)
     rows = [(d, s // SLICE, counts[d, s : min(s + SLICE, pieces.count)].tobytes()) for d in range(len(columns)) for s in range(0, pieces.count, SLICE)]
     rows += [(d, -1, types[d : d + 1].tobytes()) for d in range(len(columns))]
     yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["d", "s", "sums"])
