@@ -32,8 +32,9 @@ class KeywordIndex:
 
 
 def postings(documents: DataFrame) -> DataFrame:
-    """(repo_id, id, text) to one row per document: (repo_id, id, n_tokens, terms, tfs). A map; nothing shuffles."""
+    """(repo_id, id, text) to one row per document with tokens: (repo_id, id, n_tokens, terms, tfs). A map; nothing shuffles."""
     tokens = spread(documents, "id").select("repo_id", "id", search_tokens(F.col("text")).alias("tokens"))
+    tokens = tokens.where(F.size("tokens") > 0)
     kind = dict(documents.dtypes)["id"]
     return tokens.mapInArrow(_count_terms, f"repo_id string, id {kind}, n_tokens int, terms array<string>, tfs array<int>")
 
