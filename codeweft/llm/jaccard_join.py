@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from codeweft.llm.components import components, stored
 from codeweft.llm.keys import maybe_in
-from codeweft.llm.words import CHUNK_BYTES, LAST_ID, LOWER_BYTES, encode_words, keyed, mix, pack_arrays, rolling, text_chunks, unpack_arrays, word_hashes
+from codeweft.llm.words import CHUNK_BYTES, LAST_ID, LOWER_BYTES, encode_words, gathered, keyed, mix, pack_arrays, rolling, text_bytes, text_chunks, unpack_arrays, word_hashes
 from codeweft.session import cut
 
 #: Share of hash values counted in step 1 (members below 2**64 / COUNTED), and the members that one meeting's part may hold.
@@ -45,7 +45,7 @@ SALTS = (0x2545F4914F6CDD1D, 0x6A09E667F3BCC909)
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """One row per input row: ``id, k, tie, n_shingles, root`` (id null for null ids) where ``root`` is the smallest ``(k, tie)`` reachable by links."""
     texts = keyed(docs, id_col, text_col).select("k", "tie", "text")
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = text_bytes(texts)
     buckets, files = max(1, -(-size // BUCKET_BYTES)), max(2, -(-size // FILE_BYTES))
     dealt = texts.mapInArrow(lambda it: _sets(it, width, buckets), "bucket long, kind int, blob binary")
     stage = cut(dealt.groupBy("bucket").applyInArrow(lambda t: _shared_members(t, buckets), f"{_DOCUMENT}, target long, blob binary"))
@@ -62,7 +62,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     missing = _meet_between_components(labelled, percent, files)
     roots = components(links.select("a", "b").unionByName(missing.select("a", "b")), files)
     found = classes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
-    joined = single.join(found, ["s1", "s2"], "left")
+    joined = gathered(single.join(found, ["s1", "s2"], "left"), size // 8)
     id_ = F.when(F.col("k") != LAST_ID, F.col("k")).alias("id")
     return joined.select(id_, "k", "tie", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.struct("k", "tie")).alias("root"))
 
@@ -82,7 +82,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("tie"),
     )
     one = marked.join(heads, ["k", "tie"], "left_semi").groupBy("k", "tie").agg(F.min("row").alias("row"))
-    return one.select(*[F.col("row").getField(c).alias(c) for c in names])
+    size = text_bytes(docs.select(docs[text_col].cast("string").alias("text")))
+    return gathered(one, size).select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
 def _member_sets(texts: list[bytes], width: int) -> list[np.ndarray]:

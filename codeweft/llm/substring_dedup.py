@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.llm.keys import maybe_in
-from codeweft.llm.words import encode_words, keyed, mix, pack_arrays, ranges, rolling, text_chunks, unpack_arrays, within, word_hashes
+from codeweft.llm.words import encode_words, gathered, keyed, mix, pack_arrays, ranges, rolling, text_bytes, text_chunks, unpack_arrays, within, word_hashes
 from codeweft.session import cut
 
 #: Text dealt at once in a task; larger blobs repeat fewer words of their vocabulary.
@@ -52,6 +52,7 @@ def remove_repeated_windows(
     none = F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("spans")
     joined = split.filter("maybe").join(marks, ["k", "tie"], "left").select("id", "text", "row", "spans")
     joined = joined.unionByName(split.filter("not maybe").select("id", "text", "row", none))
+    joined = gathered(joined, text_bytes(rows))
     schema = joined.select("id", "text", "row").schema
     for name in ("n_words", "n_removed"):
         schema = schema.add(name, "long")

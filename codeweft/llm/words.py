@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 #: Text handled at once inside a task; a longer single text is its own chunk.
 CHUNK_BYTES = 6 << 20
+PART_BYTES = 32 << 20
 LAST_ID = (1 << 63) - 1
 ODD = np.uint64(0x9E3779B97F4A7C15)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,6 +44,18 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, row: Column | None = None
     return docs.select(key.alias("id"), F.coalesce(key, F.lit(LAST_ID)).alias("k"), F.xxhash64(text).alias("tie"), text.alias("text"), *([] if row is None else [row.alias("row")]))
 
 
+def text_bytes(rows: DataFrame) -> int:
+    return rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def gathered(df: DataFrame, size: int) -> DataFrame:
+    """``df``, which holds about ``size`` bytes of text, in partitions of some PART_BYTES, but four per core at least.
+
+    A result then has files of that size; with many tiny ones, most work would be opening them.
+    """
+    return df.coalesce(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)))
+
+
 def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
     """Regroup Arrow batches into tables of about ``limit`` bytes of ``column`` (binary afterwards)."""
     kept, size = [], 0
