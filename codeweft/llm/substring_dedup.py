@@ -27,9 +27,9 @@ from codeweft.llm.words import encode_words, gathered, keyed, mix, pack_arrays,
 from codeweft.session import cut
 
 #: Text dealt at once in a task; larger blobs repeat fewer words of their vocabulary.
-DEAL_BYTES = 12 << 20
+DEAL_BYTES = 8 << 20
 #: Words that a bucket is planned to receive, and the most seed runs that are ever called hot (8 bytes each in a broadcast).
-BUCKET_WORDS = 4_000_000
+BUCKET_WORDS = 3_000_000
 MOST_HOT = 1 << 22
 HOT_BIT = np.uint64(1 << 63)
 SALT = np.uint64(0x51ED2701)
