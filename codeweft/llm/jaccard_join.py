@@ -36,8 +36,8 @@ COUNTED = 3
 BLOCK_MEMBERS = 1_000_000
 #: Text whose counted members make one bucket (about a million).
 BUCKET_BYTES = 20_000_000
-#: Text per file of the small tables (links, classes, members of those that may have partners).
-FILE_BYTES = 100_000_000
+#: Text of the corpus per file of the small tables (links, classes, meetings).
+FILE_BYTES = 1_000_000_000
 WORDS_AT_ONCE = 1 << 20
 SALTS = (0x2545F4914F6CDD1D, 0x6A09E667F3BCC909)
 
@@ -46,19 +46,19 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: ``id, k, tie, n_shingles, root`` (id null for null ids) where ``root`` is the smallest ``(k, tie)`` reachable by links."""
     texts = keyed(docs, id_col, text_col).select("k", "tie", "text")
     size = text_bytes(texts)
-    buckets, files = max(1, -(-size // BUCKET_BYTES)), max(2, -(-size // FILE_BYTES))
+    buckets, files = max(1, -(-size // BUCKET_BYTES)), max(1, -(-size // FILE_BYTES))
     dealt = texts.mapInArrow(lambda it: _sets(it, width, buckets), "bucket long, kind int, blob binary")
-    stage = cut(dealt.groupBy("bucket").applyInArrow(lambda t: _shared_members(t, buckets), f"{_DOCUMENT}, target long, blob binary"))
+    stage = cut(gathered(dealt.groupBy("bucket").applyInArrow(lambda t: _shared_members(t, buckets), f"{_DOCUMENT}, target long, blob binary"), size // 8))
     single = stage.filter("blob is null").select("k", "tie", "n", "counted", "s1", "s2")
     classes = single.filter("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("k", "tie")).alias("node"), F.max("n").alias("n"), F.max("counted").alias("counted"))
     live = stage.filter("blob is not null").select("target", "blob").groupBy("target").applyInArrow(_sums, "s1 long, live long")
     spare = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100))
     classes = stored(classes.join(live, "s1", "left").withColumn("open", F.col("counted") - F.least("counted", F.coalesce("live", F.lit(0))) <= spare), files)
-    sets = stored(_sets_of(texts, classes.filter("open").select("node.k", "node.tie"), width, percent, files), files)
+    sets = stored(_sets_of(texts, classes.filter("open").select("node.k", "node.tie"), width, percent, files, size), 4 * files)
     links = _meet_at_minimum(sets, percent, files)
     labels = components(links, files)
     labelled = sets.join(labels, sets["node"] == labels["node"], "left").select(sets["node"], "n", "members", F.coalesce("root", sets["node"]).alias("root"))
-    labelled = stored(labelled, files)
+    labelled = stored(labelled, 4 * files)
     missing = _meet_between_components(labelled, percent, files)
     roots = components(links.select("a", "b").unionByName(missing.select("a", "b")), files)
     found = classes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
@@ -199,7 +199,7 @@ def _sums(table: pa.Table) -> pa.Table:
     return pa.table({"s1": names, "live": live})
 
 
-def _sets_of(texts: DataFrame, wanted: DataFrame, width: int, percent: int, files: int) -> DataFrame:
+def _sets_of(texts: DataFrame, wanted: DataFrame, width: int, percent: int, files: int, size: int) -> DataFrame:
     """``node, n, members``: members that several wanted classes share, by rising frequency; classes with too few of them go.
 
     A member is 5 bits for its frequency (half-octaves) and 58 of its hash, so ascending numbers are the global order. Members
@@ -220,7 +220,7 @@ def _sets_of(texts: DataFrame, wanted: DataFrame, width: int, percent: int, file
                 columns = [table.column(c).combine_chunks().take(part) for c in ("cid", "k", "tie")]
                 yield pa.record_batch([*columns, pa.array(sizes).take(part), pa.array(flat[low : low + (1 << 17)])], ["cid", "k", "tie", "n", "member"])
 
-    postings = cut(own.mapInArrow(run, "cid long, k long, tie long, n long, member long"))
+    postings = cut(gathered(own.mapInArrow(run, "cid long, k long, tie long, n long, member long"), size // 4))
     often = postings.groupBy("member").agg(F.count("*").alias("df")).filter("df > 1")
     key = F.least(F.lit(31), F.floor(2 * F.log2("df"))).cast("long") * F.lit(1 << 58) + F.col("member").bitwiseAND(F.lit((1 << 58) - 1))
     shared = postings.select("cid", "member").join(often, "member").select("cid", key.alias("member"))

@@ -49,11 +49,11 @@ def text_bytes(rows: DataFrame) -> int:
 
 
 def gathered(df: DataFrame, size: int) -> DataFrame:
-    """``df``, which holds about ``size`` bytes of text, in partitions of some PART_BYTES, but four per core at least.
+    """``df``, which holds about ``size`` bytes of text, in partitions of some PART_BYTES, but two per core at least.
 
     A result then has files of that size; with many tiny ones, most work would be opening them.
     """
-    return df.coalesce(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)))
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)))
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
