@@ -48,7 +48,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = text_bytes(texts)
     buckets, files = max(1, -(-size // BUCKET_BYTES)), max(1, -(-size // FILE_BYTES))
     dealt = texts.mapInArrow(lambda it: _sets(it, width, buckets), "bucket long, kind int, blob binary")
-    stage = cut(gathered(dealt.groupBy("bucket").applyInArrow(lambda t: _shared_members(t, buckets), f"{_DOCUMENT}, target long, blob binary"), size // 8))
+    stage = cut(dealt.groupBy("bucket").applyInArrow(lambda t: _shared_members(t, buckets), f"{_DOCUMENT}, target long, blob binary"))
     single = stage.filter("blob is null").select("k", "tie", "n", "counted", "s1", "s2")
     classes = single.filter("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("k", "tie")).alias("node"), F.max("n").alias("n"), F.max("counted").alias("counted"))
     live = stage.filter("blob is not null").select("target", "blob").groupBy("target").applyInArrow(_sums, "s1 long, live long")
@@ -220,7 +220,7 @@ def _sets_of(texts: DataFrame, wanted: DataFrame, width: int, percent: int, file
                 columns = [table.column(c).combine_chunks().take(part) for c in ("cid", "k", "tie")]
                 yield pa.record_batch([*columns, pa.array(sizes).take(part), pa.array(flat[low : low + (1 << 17)])], ["cid", "k", "tie", "n", "member"])
 
-    postings = cut(gathered(own.mapInArrow(run, "cid long, k long, tie long, n long, member long"), size // 4))
+    postings = cut(gathered(own, size // 4).mapInArrow(run, "cid long, k long, tie long, n long, member long"))
     often = postings.groupBy("member").agg(F.count("*").alias("df")).filter("df > 1")
     key = F.least(F.lit(31), F.floor(2 * F.log2("df"))).cast("long") * F.lit(1 << 58) + F.col("member").bitwiseAND(F.lit((1 << 58) - 1))
     shared = postings.select("cid", "member").join(often, "member").select("cid", key.alias("member"))

@@ -51,7 +51,8 @@ def text_bytes(rows: DataFrame) -> int:
 def gathered(df: DataFrame, size: int) -> DataFrame:
     """``df``, which holds about ``size`` bytes of text, in partitions of some PART_BYTES, but two per core at least.
 
-    A result then has files of that size; with many tiny ones, most work would be opening them.
+    A result then has files of that size; with many tiny ones, most work would be opening them. To be called before a step
+    in Python, not after one: merged tasks would keep the buffers of every one of its inputs.
     """
     return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)))
 

@@ -22,8 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below one half; the model learns from the labelled rows of these documents."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = toxicity.score(docs, model).filter(F.col("toxic_score") < 0.5)
-    return gathered(kept, text_bytes(docs)).select(*COLUMNS)
+    return toxicity.score(gathered(docs, text_bytes(docs)), model).filter(F.col("toxic_score") < 0.5).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +41,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    kept = decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return gathered(kept, text_bytes(docs)).select(*COLUMNS)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.without_leaks(gathered(docs, text_bytes(docs)), items).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
