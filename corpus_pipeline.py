@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.llm import decontaminate, jaccard_join, packing, substring_dedup, toxicity
-from codeweft.llm.words import gathered, text_bytes
 from codeweft.session import ensure_checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,7 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below one half; the model learns from the labelled rows of these documents."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(gathered(docs, text_bytes(docs)), model).filter(F.col("toxic_score") < 0.5).select(*COLUMNS)
+    return toxicity.score(docs, model).filter(F.col("toxic_score") < 0.5).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +41,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.without_leaks(gathered(docs, text_bytes(docs)), items).select(*COLUMNS)
+    return decontaminate.without_leaks(docs, items).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
