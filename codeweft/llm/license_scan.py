@@ -39,7 +39,7 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC0-1.0": ["dedicated to the public domain under CC0 1.0"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "Proprietary": ["All rights reserved. No part of this publication may be reproduced"],
+    "Proprietary": ["All rights reserved", "All rights reserved. No part of this publication may be reproduced"],
 }
 EDGES = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _OUT = "id long, license string, coverage double, matched int, words int, start long, stop long"

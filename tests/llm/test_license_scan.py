@@ -50,6 +50,22 @@ def test_planted_notices_are_found_with_their_spans(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_every_wording_is_found_as_a_line_of_its_own(spark):
+    lines = [(name, text) for name, texts in license_scan.TEMPLATES.items() for text in texts]
+    # The license lines of the given documents, as they stand there.
+    lines += [
+        ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"), ("Proprietary", "All rights reserved"), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+        ("MIT", "Released under the MIT License"), ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ]
+    rows = [(i, f"Some words before it.\n{text}.\nAnd all the rights of some words after it.") for i, (_, text) in enumerate(lines)]
+    rows += [(900, "all rights"), (901, "All those rights reserved"), (902, "All rights reserved. All rights reserved.")]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.id, x.license) for x in got) == sorted([(i, name) for i, (name, _) in enumerate(lines)] + [(902, "Proprietary")] * 2)
+    for x in got:
+        if x.id < 900:
+            assert plain(dict(rows)[x.id][x.start : x.stop]) == plain(lines[x.id][1].removeprefix("This work is "))
+
+
 def test_alignment_equals_the_full_one_inside_the_band():
     r = random.Random(2)
     for _ in range(200):
