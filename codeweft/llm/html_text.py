@@ -1,12 +1,12 @@
 """Main text of web pages by structure and by site template removal.
 
 A page is parsed into a tree; every element subtree has a hash of its tag, its text and its children. Subtrees outside the
-article (and containers inside it) are counted per host, in distinct pages; those on many pages of a host are that site's template
-and are deleted, together with what markup names as navigation, header, footer, sidebar, notice, advert, form, script,
+article (and containers inside it) are counted per host, in distinct pages (pages of equal text before this removal are one, however
+often they are repeated and under whatever url); those on many pages of a host are that site's template and are deleted, together with what markup names as navigation, header, footer, sidebar, notice, advert, form, script,
 style or reader comments. What is left of the article is written block by block.
 
-Counts are combined inside each task before they shuffle by (host, hash), so a host with a third of all pages is spread over
-tasks by its subtrees. Templates go back to the pages as a broadcast only if they measure small; otherwise pages join them by host,
+Copies are merged inside each task before (host, hash, text) shuffles, and counts before (host, hash) does, so a host with a third
+of all pages is spread over tasks by its subtrees and pages. Templates go back to the pages as a broadcast only if they measure small; otherwise pages join them by host,
 which adaptive execution can split. Pages are parsed twice, which is cheaper than shuffling them.
 
 Defined results: null and empty pages have no text; broken markup is closed as browsers do; a page without article or main
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -244,8 +243,9 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     """Every row of ``pages`` without ``html_col``, with ``main_text``."""
     kept = [c for c in pages.columns if c != html_col]
     rows = pages.select(F.struct(*[pages[c] for c in kept]).alias("row"), host_of(pages[url_col]).alias("host"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("page"))
-    counted = rows.select("host", "page").mapInArrow(_count, "host string, hash long, n long")
-    sums = counted.groupBy("host", "hash").agg(F.sum("n").alias("n"))
+    # What a host's pages hold, once for every different page: its copies add nothing.
+    counted = rows.select("host", "page").mapInArrow(_count, "host string, hash long, text long").distinct()
+    sums = counted.groupBy("host", "hash").agg(F.count("*").alias("n"))
     sums = cut(sums.filter(F.col("hash").isNull() | (F.col("n") >= LEAST_PAGES)))
     totals = sums.filter("hash is null").select("host", F.col("n").alias("pages"))
     template = cut(sums.filter("hash is not null").join(totals, "host").filter(F.col("n") >= F.col("pages") * LEAST_SHARE).select("host", "hash"))
@@ -263,22 +263,23 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    seen: set[tuple] = set()
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if host:
-                counts[host, None] += 1
-                counts.update({(host, h) for h in subtree_hashes(parse(page)).values()})
-            if len(counts) > 1 << 18:
-                yield _rows(counts)
-                counts.clear()
-    yield _rows(counts)
-
-
-def _rows(counts: Counter) -> pa.RecordBatch:
-    return pa.record_batch(
-        [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["host", "hash", "n"]
-    )
+                root = parse(page)
+                text = xxhash.xxh64_intdigest(main_text(root)) - (1 << 63)
+                seen.add((host, None, text))
+                seen.update((host, h, text) for h in subtree_hashes(root).values())
+            if len(seen) > 1 << 18:
+                yield _rows(seen)
+                seen.clear()
+    yield _rows(seen)
+
+
+def _rows(seen: set[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*seen, strict=True)) or [(), (), ()]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "hash", "text"])
 
 
 def _extract(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001

@@ -51,3 +51,20 @@ def test_join_instead_of_broadcast_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(html_text, "BROADCAST_ROWS", 0)
     assert sorted(html_text.extract(pages).collect()) == want and want[0].main_text == "x0"
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    own = "<ul><li>first</li></ul><section><p>boxed</p></section>"
+    article = f"<nav>menu</nav><article><p>words</p>{own}</article>"
+    bare = "<body><div><p>alone</p></div><p>and more</p></body>"
+    rows = [(i, f"http://a.com/{i % 7}", article) for i in range(20)]
+    rows += [(100 + i, f"http://a.com/{i}", f"<article><p>text {i}</p><div>shop box</div></article>") for i in range(20)]
+    rows += [(200 + i, f"http://b.com/{i}", bare) for i in range(10)] + [(300 + i, f"http://b.com/p{i}", f"<div>menu here</div><p>page {i}</p>") for i in range(10)]
+    # Copies that differ outside the text only.
+    rows += [(400 + i, f"http://c.com/{i}", f"<nav>{i}</nav><article><p>words</p>{own}</article>") for i in range(10)] + [(500, "http://c.com/", "<article><p>x</p></article>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    texts = {r.page_id: r.main_text for r in html_text.extract(pages).collect()}
+    for i in range(20):
+        assert texts[i] == "words\nfirst\nboxed" and texts[100 + i] == f"text {i}"
+    for i in range(10):
+        assert texts[200 + i] == "alone\nand more" and texts[300 + i] == f"page {i}" and texts[400 + i] == "words\nfirst\nboxed"
