@@ -2,7 +2,7 @@
 
 Texts are compared as lower-cased letters and digits with single spaces. A region within ``e`` edits of an item of ``L``
 characters shares at least ``L - q + 1 - q e`` q-grams with it, on diagonals that differ by at most ``e``. Shared q-grams are
-counted in diagonal bands that overlap by ``e``, so one band holds them all; bands that reach the bound are verified by
+counted in cells of more than ``e`` diagonals, so two neighbouring cells, a band, hold them all; bands that reach the bound are verified by
 alignment of the whole item against the band (item ends fixed, text ends free).
 
 Documents stay where they are read: the items travel, in blocks of bounded size (one pass each), and nothing is shuffled, so a
@@ -26,8 +26,11 @@ from codeweft.llm.words import mix, ranges, rolling, text_chunks
 
 #: Characters of items that one pass over the documents carries (about 40 bytes each in a task).
 BLOCK_CHARS = 2_000_000
+#: Setting of the query and the pipeline: copies with up to 12 % of their characters edited are found.
+WIDE = {"q": 6, "budget": 0.12}
 PART_CHARS = 1 << 20
 HITS = 1 << 20
+CELL = (1 << 40) - 1
 GAP = np.uint32(0x110000)
 SPACE = np.uint32(32)
 
@@ -197,7 +200,7 @@ def _candidates(line: np.ndarray, known: _Items) -> Iterator[tuple]:
     true = known.grams[where] == grams[hits]
     hits, where = hits[true], where[true]
     del grams
-    width = np.maximum(16, known.edits)
+    width = np.maximum(16, known.edits + 1)
     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     sums = np.cumsum(known.count[where])
     low = 0
@@ -206,27 +209,57 @@ def _candidates(line: np.ndarray, known: _Items) -> Iterator[tuple]:
         n = known.count[where[low:high]]
         index = ranges(known.begin[where[low:high]], n)
         item = known.item[index]
-        # Band b of an item holds diagonals b * width .. b * width + width + edits, shifted to be positive.
+        # Cell c of an item holds diagonals c * width .. c * width + width - 1, shifted to be positive; cells c and c + 1 are band c.
         diagonal = np.repeat(hits[low:high], n) - known.place[index] + known.overlap
-        w, e = width[item], known.edits[item]
-        band, rest = diagonal // w, diagonal % w
-        both = np.concatenate([item << 40 | band, (item << 40 | (band - 1))[(rest <= e) & (band > 0)]])
-        new, c = np.unique(both, return_counts=True)
-        keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
-        counts = np.bincount(back, np.concatenate([counts, c]), len(keys)).astype(np.int64)
+        new, c = _tally(item, diagonal // width[item], known.first_exact)
+        # Bands that lie within these hits alone are full; only those at the edges can have more.
+        kept = _in_full_bands(new, c, known) | (((new & CELL) - 1) * width[new >> 40] - known.overlap < hits[low])
+        if high < len(hits):
+            kept |= _open(new, width, hits[high] - known.overlap)
+        keys, back = np.unique(np.concatenate([keys, new[kept]]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, c[kept]]), len(keys)).astype(np.int64)
         if high < len(hits):
             # Bands that end before the next hit can fill no further.
-            item, band = keys >> 40, keys & ((1 << 40) - 1)
-            open_ = (band + 1) * width[item] + known.edits[item] >= hits[high] - known.overlap
-            keep = open_ | (counts >= known.least[item])
+            keep = _open(keys, width, hits[high] - known.overlap) | _in_full_bands(keys, counts, known)
             keys, counts = keys[keep], counts[keep]
         low = high
-    item = keys >> 40
-    good = counts >= known.least[item]
-    item, band = item[good], (keys & ((1 << 40) - 1))[good]
+    good = _bands(keys, counts) >= known.least[keys >> 40]
+    item, band = keys[good] >> 40, keys[good] & CELL
     for i in np.unique(item):
         begin = band[item == i] * width[i] - known.overlap
-        yield from _align(line, known.codes[i], int(known.edits[i]), int(i), begin, int(width[i]))
+        yield from _align(line, known.codes[i], int(known.edits[i]), int(i), begin, int(2 * width[i] - known.edits[i]))
+
+
+def _bands(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What every cell holds together with the next one."""
+    both = counts.copy()
+    both[:-1] += np.where(keys[1:] == keys[:-1] + 1, counts[1:], 0)
+    return both
+
+
+def _in_full_bands(keys: np.ndarray, counts: np.ndarray, known: _Items) -> np.ndarray:
+    full = _bands(keys, counts) >= known.least[keys >> 40]
+    out = full.copy()
+    out[1:] |= full[:-1] & (keys[1:] == keys[:-1] + 1)
+    return out
+
+
+def _open(keys: np.ndarray, width: np.ndarray, to: int) -> np.ndarray:
+    return ((keys & CELL) + 2) * width[keys >> 40] >= to
+
+
+def _tally(item: np.ndarray, cell: np.ndarray, items: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``item << 40 | cell`` and how often each occurs: by one counter for each, unless most would stay 0."""
+    first = np.full(items, np.iinfo(np.int64).max)
+    np.minimum.at(first, item, cell)
+    at = cell - first[item]
+    span = int(at.max(initial=0)) + 1
+    if items * span > 12 * len(item):
+        return np.unique(item << 40 | cell, return_counts=True)
+    counts = np.bincount(item * span + at, minlength=items * span)
+    found = np.flatnonzero(counts)
+    item = found // span
+    return item << 40 | (first[item] + found % span), counts[found]
 
 
 def _align(line: np.ndarray, codes: np.ndarray, edits: int, item: int, begin: np.ndarray, width: int) -> Iterator[tuple]:
@@ -244,7 +277,14 @@ def _align(line: np.ndarray, codes: np.ndarray, edits: int, item: int, begin: np
             new = cost + np.where(here == codes[i], 0, np.where(here == GAP, one << 12, one))
             new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + one)
             cost = np.minimum.accumulate(new - steps, axis=1) + steps
-        best = cost.argmin(axis=1)
+            if i % 8 == 7:
+                # Costs never fall again, so bands beyond the budget are done.
+                alive = cost.min(axis=1) < (edits + 1) * one
+                if not alive.all():
+                    first, text, cost = first[alive], text[alive], cost[alive]
+                    if not len(first):
+                        break
+        best = cost.argmin(axis=1) if len(first) else np.zeros(0, np.int64)
         for r, d in enumerate(best.tolist()):
             value = int(cost[r, d])
             if value // one <= edits:

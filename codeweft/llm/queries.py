@@ -96,7 +96,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    leaks = decontaminate.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    leaks = decontaminate.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), **decontaminate.WIDE)
     return leaks.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "stop", "edits")
 
 

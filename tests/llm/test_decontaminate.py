@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeweft.llm import decontaminate
+import corpus_pipeline
+from codeweft.llm import decontaminate, queries
 
 
 def distance_in(text, item):
@@ -77,6 +78,43 @@ def test_equals_brute_force(spark, monkeypatch, seed, part):
     assert sorted(str(x.doc_id) for x in kept.collect()) == sorted(str(i) for i, t in rows if not any(w[0] == i for w in want))
 
 
+def test_query_and_pipeline_find_copies_with_more_than_a_tenth_edited(spark, tmp_path):
+    r = random.Random(8)
+    line = lambda n: " ".join("".join(r.choice("etaonrish") for _ in range(r.randint(2, 9))) for _ in range(n))
+    items = [(i, line(40)) for i in range(6)]
+    rows, want = [(100, line(300))], set()
+    for i, text in items:
+        size = len(decontaminate.plain(text)[0])
+        # Substitutions at even distances, so that the distance is their number.
+        for n, edits in enumerate((size * 11 // 100, size * 12 // 100, size * 14 // 100)):
+            chars = list(text)
+            for k in range(edits):
+                chars[k * size // edits] = "x"
+            rows.append((3 * i + n, line(30) + " " + "".join(chars) + " " + line(30)))
+            if n < 2:
+                want.add((3 * i + n, i))
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "length(text) n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries.op2_decontamination(spark, str(tmp_path)).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want
+    kept = corpus_pipeline.decontamination(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {x.doc_id for x in kept.collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
+@pytest.mark.parametrize("hits", [20, 1 << 20])
+def test_wide_setting_equals_brute_force(monkeypatch, hits):
+    monkeypatch.setattr(decontaminate, "HITS", hits)
+    r = random.Random(hits)
+    words = ["the", "eror", "thing", "of", "onre", "anthwh", "sha", "ing"]
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(i, line(r.choice([8, 20, 60]))) for i in range(12)]
+    texts = [line(r.choice([0, 5, 60])) + " " + damage(r, item, r.randint(0, len(item) // 6)) + " " + line(9) for _, item in items for _ in range(4)]
+    known = decontaminate._Items(items, **decontaminate.WIDE)
+    got = {(m[0], known.ids[m[1]]) for m in decontaminate._matches([t.encode() for t in texts], known)}
+    want = {(i, j) for i, t in enumerate(texts) for j, item in items if distance_in(decontaminate.plain(t)[0], decontaminate.plain(item)[0]) <= int(len(item) * 0.12)}
+    assert got == want and len(want) > 15
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "some text that stands here")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
