@@ -1,6 +1,6 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
-Texts are compared as lower-cased letters and digits with single spaces. A region within ``e`` edits of an item of ``L``
+Texts are compared as lower-cased letters and digits of their composed form (NFC) with single spaces. A region within ``e`` edits of an item of ``L``
 characters shares at least ``L - q + 1 - q e`` q-grams with it, on diagonals that differ by at most ``e``. Shared q-grams are
 counted in cells of more than ``e`` diagonals, so two neighbouring cells, a band, hold them all; bands that reach the bound are verified by
 alignment of the whole item against the band (item ends fixed, text ends free).
@@ -14,6 +14,8 @@ Defined results: null and empty texts or items match nothing, as do items withou
 
 from __future__ import annotations
 
+import functools
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -105,6 +107,41 @@ def plain(text: str) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
+def _placed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``plain`` of the composed text, with the first offset and the offset after each character in the text as it stands."""
+    if unicodedata.is_normalized("NFC", text):
+        codes, at = plain(text)
+        return codes, at, at + 1
+    pieces, spans, done = [], [], 0
+    for found in [*_unstable().finditer(text), None]:
+        start, stop = found.span() if found else (len(text), len(text))
+        pieces.append(text[done:start])
+        spans.append((start - done, done, start, 1))
+        if found:
+            pieces.append(unicodedata.normalize("NFC", found[0]))
+            spans.append((len(pieces[-1]), start, stop, 0))
+        done = stop
+    n, first, past, same = np.array(spans, np.int64).T
+    inner = ranges(np.zeros(len(n)), n)
+    begin = np.repeat(first, n) + inner * np.repeat(same, n)
+    end = np.where(np.repeat(same, n) == 1, begin + 1, np.repeat(past, n))
+    codes, at = plain("".join(pieces))
+    return codes, begin[at], end[at]
+
+
+@functools.cache
+def _unstable() -> re.Pattern:
+    """Runs that NFC may change: characters that can join or be moved before the one in front, with that one, and characters that it replaces."""
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and not 0xAC00 <= i < 0xD7A4]
+    parts = {c: unicodedata.normalize("NFD", c) for c in every}
+    joins = {c for c in every if unicodedata.combining(c)} | {chr(i) for i in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}
+    joins |= {x for p in parts.values() for x in p[1:]}
+    joins |= {c for c, p in parts.items() if p[0] in joins}
+    replaced = {c for c in every if unicodedata.normalize("NFC", c) != c}
+    one = lambda chars: "[" + "".join(f"\\U{ord(c):08x}" for c in sorted(chars)) + "]"
+    return re.compile(f"(?s:.?{one(joins)}+|{one(replaced)})")
+
+
 class _Items:
     """Items of one block with their q-gram index."""
 
@@ -141,11 +178,11 @@ def _matches(texts: list[bytes], known: _Items) -> list[tuple]:
     """``(text, item, start, stop, edits)`` with offsets in characters."""
     parts, owners, shifts, size, found = [], [], [], 0, []
     for i, text in enumerate(texts):
-        codes, at = plain(text.decode())
+        codes, begin, end = _placed(text.decode())
         for low in range(0, max(1, len(codes)), PART_CHARS):
             part = slice(low, low + PART_CHARS + known.overlap)
             if len(codes[part]):
-                parts.append((i, codes[part], at[part]))
+                parts.append((i, codes[part], begin[part], end[part]))
                 size += len(codes[part])
         if size >= PART_CHARS or i + 1 == len(texts):
             found.extend(_in_parts(parts, known))
@@ -170,14 +207,14 @@ def _in_parts(parts: list[tuple], known: _Items) -> Iterator[tuple]:
     if not parts:
         return
     gap = np.array([GAP])
-    line = np.concatenate([x for _, codes, _ in parts for x in (codes, gap)])
-    starts = np.cumsum([0] + [len(codes) + 1 for _, codes, _ in parts])
+    line = np.concatenate([x for _, codes, _, _ in parts for x in (codes, gap)])
+    starts = np.cumsum([0] + [len(codes) + 1 for _, codes, _, _ in parts])
     for item, begin, stop, edits in [*_candidates(line, known), *_as_they_are(line, known)]:
         at = int(np.searchsorted(starts, begin, side="right")) - 1
-        who, codes, offsets = parts[at]
+        who, codes, first, past = parts[at]
         a, b = begin - int(starts[at]), stop - int(starts[at])
         if b <= len(codes):
-            yield who, item, int(offsets[a]), int(offsets[b - 1]) + 1, edits
+            yield who, item, int(first[a]), int(past[b - 1]), edits
 
 
 def _as_they_are(line: np.ndarray, known: _Items) -> Iterator[tuple]:

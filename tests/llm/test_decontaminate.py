@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -115,6 +116,30 @@ def test_wide_setting_equals_brute_force(monkeypatch, hits):
     assert got == want and len(want) > 15
 
 
+def test_decomposed_copies_are_found_where_they_stand(spark):
+    text = "mañana él dirá qué pasó aquí según dónde está más allá de así también"
+    forms = {i: unicodedata.normalize(f, text) for i, f in enumerate(("NFC", "NFD"))}
+    hindi = "\u0958\u0932\u092e \u0959\u0930 \u0958\u0926\u092e \u095b\u092e\u0940\u0928 \u095e\u0938\u0932"
+    rows = [(0, "ñ: " + forms[0] + ", fin."), (1, "n\u0303: " + forms[1] + ", fin."), (2, "so " + hindi + " so"), (3, "fin")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(10, forms[0]), (11, forms[1]), (12, hindi)], "item_id long, text string")
+    got = decontaminate.find_leaks(docs, items).collect()
+    assert {(x.id, x.item, x.edits) for x in got} == {(i, j, 0) for i in (0, 1) for j in (10, 11)} | {(2, 12, 0)}
+    for x in got:
+        assert dict(rows)[x.id][x.start : x.stop].strip() == (hindi if x.id == 2 else forms[x.id])
+    assert [x.doc_id for x in decontaminate.without_leaks(docs, items).collect()] == [3]
+
+
+def test_offsets_of_composed_texts():
+    r = random.Random(9)
+    some = "ab \u0301\u0323\u0344\u0958\u09c7\u09be\u1100\u1161\u11a8\uac00\u212b\u1e9b\u0f73\U0001d15e\U00011131\U00011127é"
+    for _ in range(3000):
+        text = "".join(r.choice(some) for _ in range(r.randint(0, 9)))
+        codes, begin, end = decontaminate._placed(text)
+        assert codes.tolist() == decontaminate.plain(unicodedata.normalize("NFC", text))[0].tolist()
+        assert (begin < end).all() and (np.diff(begin) >= 0).all() and (end <= len(text)).all()
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "some text that stands here")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
