@@ -1,11 +1,12 @@
 """Exact nearest neighbours by inner product as a block matrix join.
 
-Queries are hashed into blocks, candidates into shards, and each (block, shard) is one group. Inside it, vectors are quantised to
+Rows are hashed by id and vector, as queries into blocks and as candidates into shards, and each (block, shard) is one group. Inside it, vectors are quantised to
 int8 with one scale each; tiles of the integer product give every inner product up to a bound (Cauchy-Schwarz on the
 quantisation residuals, whose norms are known). Pairs whose upper bound reaches the k-th best lower bound are recomputed in double
-precision from the original vectors and kept in a heap per query. A last window merges the k rows per query and shard.
+precision from the original vectors and kept in a heap of k different ids per query, each with its best score. Bounds count
+different ids too. A last window merges the k rows per query and shard.
 
-Equal vectors of a shard are multiplied once and stand for their k + 1 smallest ids, since later ids lose every tie.
+Rows of equal id and vector are one row, and the rows of one id are spread over all shards. Equal vectors of a shard are multiplied once and stand for their k + 1 smallest ids, since later ids lose every tie.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; only vectors of equal length
 meet; rows repeating an id are one item with several vectors, near by the best of them; null ids take no part.
@@ -38,10 +39,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     n, asked = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
     shards = max(1, -(-n // SHARD_ROWS), min(2 * cores, n // 2_000))
     blocks = max(1, -(-asked // BLOCK_QUERIES))
-    rows = rows.withColumn("dim", F.size("v"))
+    rows = rows.distinct().withColumn("dim", F.size("v"))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    queries = rows.filter("asks").select(F.pmod(F.hash("id"), F.lit(blocks)).alias("block"), every(shards).alias("shard"), "dim", "id", "v")
-    candidates = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"), "dim", "id", "v")
+    queries = rows.filter("asks").select(F.pmod(F.hash("id", "v"), F.lit(blocks)).alias("block"), every(shards).alias("shard"), "dim", "id", "v")
+    candidates = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"), "dim", "id", "v")
     by = ["block", "shard", "dim"]
     best = queries.groupBy(by).cogroup(candidates.groupBy(by)).applyInArrow(lambda q, c: _join(q, c, k), _OUT)
     one = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -80,8 +81,14 @@ def _join(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
     by = np.argsort(which.ravel(), kind="stable")
     edges = np.searchsorted(which.ravel()[by], np.arange(len(c) + 1))
     members = [np.unique(c_ids[by[a:b]])[: k + 1].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    # Columns that share their smallest id lie side by side: together they count as one id in the bounds.
+    first = np.array([m[0] for m in members])
+    order = np.argsort(first, kind="stable")
+    c, first, members = c[order], first[order], [members[i] for i in order.tolist()]
+    alone = np.array([len(m) == 1 for m in members])
     a, b = Quantised(q), Quantised(c)
     heaps: list[list] = [[] for _ in q_ids]
+    more = len(np.unique(c_ids)) < len(c_ids)
     for low in range(0, len(q), TILE[0]):
         rows = slice(low, low + TILE[0])
         floor = np.full(len(q[rows]), -np.inf)
@@ -90,10 +97,19 @@ def _join(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
             product = (a.codes[rows] @ b.codes[cols].T).astype(np.float64) * a.scale[rows, None] * b.scale[None, cols]
             spread = a.shown[rows, None] * b.lost[None, cols] + a.lost[rows, None] * b.norm[None, cols]
             spread += 1e-12 * a.norm[rows, None] * b.norm[None, cols]
-            # A query's own row may hold one of the best places, so the bound is the (k + 1)-th.
-            if product.shape[1] > k:
-                floor = np.maximum(floor, np.partition(product - spread, -(k + 1), axis=1)[:, -(k + 1)])
-            i, j = np.nonzero(product + spread >= floor[:, None])
+            least, near = product - spread, product + spread
+            starts = np.flatnonzero(np.diff(first[cols], prepend=first[left] - 1))
+            repeated = len(starts) < least.shape[1]
+            if repeated:
+                least = np.maximum.reduceat(least, starts, axis=1)
+            # A query's own id may hold one of the best places, so the bound is the (k + 1)-th.
+            if least.shape[1] > k:
+                floor = np.maximum(floor, np.partition(least, -(k + 1), axis=1)[:, -(k + 1)])
+            wanted = near >= floor[:, None]
+            if repeated:
+                # A vector of one id only counts if it can be the best of that id.
+                wanted &= ~alone[cols] | (near >= np.repeat(least, np.diff(starts, append=near.shape[1]), axis=1))
+            i, j = np.nonzero(wanted)
             exact = np.zeros(len(i))
             for d in range(q.shape[1]):
                 exact += q[low + i, d] * c[left + j, d]
@@ -102,12 +118,17 @@ def _join(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
                 for other in members[ci]:
                     if other == own:
                         continue
-                    if len(heap) < k:
+                    if len(heap) == k and (score, -other) <= heap[0]:
+                        break
+                    at = next((n for n, kept in enumerate(heap) if kept[1] == -other), None) if more else None
+                    if at is not None:
+                        if score > heap[at][0]:
+                            heap[at] = (score, -other)
+                            heapq.heapify(heap)
+                    elif len(heap) < k:
                         heapq.heappush(heap, (score, -other))
-                    elif (score, -other) > heap[0]:
-                        heapq.heapreplace(heap, (score, -other))
                     else:
-                        break
+                        heapq.heapreplace(heap, (score, -other))
             for r in range(len(floor)):
                 if len(heaps[low + r]) == k:
                     floor[r] = max(floor[r], heaps[low + r][0][0])

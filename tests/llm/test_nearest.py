@@ -51,5 +51,37 @@ def test_equals_brute_force(spark, monkeypatch, seed, tile, shard):
     assert got == brute(rows, 7)
 
 
+@pytest.mark.parametrize("tile, shard", [((512, 4096), 65536), ((7, 11), 65536), ((5, 9), 60)])
+def test_an_id_with_many_near_vectors_takes_one_place(spark, monkeypatch, tile, shard):
+    monkeypatch.setattr(nearest, "TILE", tile)
+    monkeypatch.setattr(nearest, "SHARD_ROWS", shard)
+    r = random.Random(4)
+    rows = [(i, [1.0 + r.gauss(0, 0.3) for _ in range(6)]) for i in range(90)]
+    rows += [(1000, [3.0 + r.gauss(0, 0.1) for _ in range(6)]) for _ in range(60)]  # near every query, a third of all rows
+    rows += [(1001, [2.9 + r.gauss(0, 0.1) for _ in range(6)]) for _ in range(30)] + [(3, [2.0 + r.gauss(0, 0.1) for _ in range(6)]) for _ in range(12)]
+    rows += rows[:5] + rows[90:95] + [(1002, rows[90][1]), (7, rows[90][1])] + [rows[91]] * 30
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for row in nearest.nearest(vectors, F.col("vec_id") % 3 == 0, k=7).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append((row.vec_id, row.score))
+    assert got == brute(rows, 7) and all(len(v) == 7 for v in got.values())
+
+
+def test_rows_of_one_id_are_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "SHARD_ROWS", 50)
+    sizes = spark.sparkContext.accumulator(0)
+    join, r = nearest._join, random.Random(5)
+
+    def seen(q, c, k):
+        if c.num_rows > 150:
+            sizes.add(1)
+        return join(q, c, k)
+
+    monkeypatch.setattr(nearest, "_join", seen)
+    rows = [(1, [r.gauss(0, 1) for _ in range(4)]) for _ in range(300)] + [(1, [1.0, 2.0, 3.0, 4.0])] * 300 + [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(2, 20)]
+    nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 2, k=5).collect()
+    assert sizes.value == 0
+
+
 def test_empty_table(spark):
     assert nearest.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") >= 0).count() == 0
