@@ -30,6 +30,8 @@ from codeweft.session import cut
 #: A subtree is template from so many pages of a host on, if they are also this share of the host's pages.
 LEAST_PAGES = 4
 LEAST_SHARE = 0.2
+#: Containers are template from so many pages on, whatever their share of the host's pages is.
+MANY_PAGES = 50
 #: Template subtrees that may be broadcast (8 bytes each and a host's name).
 BROADCAST_ROWS = 500_000
 #: Levels of nesting kept, as browsers keep some hundreds; no text is lost by it.
@@ -181,6 +183,7 @@ def subtree_hashes(root: Element) -> dict[int, int]:
     """Hash of every subtree that template removal may delete, by ``id`` of the element.
 
     Outside the article any element; inside it only containers, since a paragraph that recurs on other pages is still text.
+    The lowest bit tells containers.
     """
     parts = {id(p) for p in main_parts(root) if p is not root}
     out: dict[int, int] = {}
@@ -197,7 +200,7 @@ def subtree_hashes(root: Element) -> dict[int, int]:
         name = xxhash.xxh64_intdigest("\x00".join(pieces))
         free = not (inside and element.tag in TEXT_BLOCKS) and element.tag not in ("#page", "html", "head", "body", "main", "article")
         if free and not holds:
-            out[id(element)] = name - (1 << 63)
+            out[id(element)] = (name & ~1 | (element.tag not in TEXT_BLOCKS)) - (1 << 63)
         return format(name, "x"), holds
 
     walk(root, False)
@@ -248,7 +251,8 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     sums = counted.groupBy("host", "hash").agg(F.count("*").alias("n"))
     sums = cut(sums.filter(F.col("hash").isNull() | (F.col("n") >= LEAST_PAGES)))
     totals = sums.filter("hash is null").select("host", F.col("n").alias("pages"))
-    template = cut(sums.filter("hash is not null").join(totals, "host").filter(F.col("n") >= F.col("pages") * LEAST_SHARE).select("host", "hash"))
+    many = (F.col("n") >= MANY_PAGES) & (F.col("hash").bitwiseAND(F.lit(1)) == 1)
+    template = cut(sums.filter("hash is not null").join(totals, "host").filter((F.col("n") >= F.col("pages") * LEAST_SHARE) | many).select("host", "hash"))
     schema = rows.select("row").schema.add("text", "string")
     if template.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         found: dict[str, set] = {}

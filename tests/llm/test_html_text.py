@@ -68,3 +68,12 @@ def test_copies_of_a_page_are_no_template(spark):
         assert texts[i] == "words\nfirst\nboxed" and texts[100 + i] == f"text {i}"
     for i in range(10):
         assert texts[200 + i] == "alone\nand more" and texts[300 + i] == f"page {i}" and texts[400 + i] == "words\nfirst\nboxed"
+
+
+def test_a_box_on_many_pages_of_a_large_host_is_template(spark):
+    box, line = "<div><p>Our offers</p></div>", "<p>Same line</p>"
+    rows = [(i, f"http://a.com/{i}", f"<body>{box if i < 50 else ''}{line if i < 50 else ''}<p>text {i}</p></body>") for i in range(300)]
+    rows += [(1000 + i, f"http://b.com/{i}", f"<body>{box if i < 49 else ''}<p>text {i}</p></body>") for i in range(300)]
+    texts = {r.page_id: r.main_text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # Only containers go by number alone: a line of text that recurs on a sixth of the pages stays, but nothing of a box on fifty.
+    assert texts[7] == "Same line\ntext 7" and texts[60] == "text 60" and texts[1007] == "Our offers\ntext 7"
