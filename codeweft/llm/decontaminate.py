@@ -9,7 +9,7 @@ Documents stay where they are read: the items travel, in blocks of bounded size
 passage that a third of all documents hold costs no more than any other. A text longer than a chunk is cut into overlapping parts.
 
 Defined results: null and empty texts or items match nothing, as do items without letters or digits; items shorter than
-``q`` + 1 characters must occur as they are, between spaces; repeated rows each get their own matches.
+``q`` + 1 characters (in the caller's q; short items with many edits are searched with a smaller one) must occur as they are, between spaces; repeated rows each get their own matches.
 """
 
 from __future__ import annotations
@@ -143,13 +143,22 @@ def _unstable() -> re.Pattern:
 
 
 class _Items:
-    """Items of one block with their q-gram index."""
+    """Items of one block with their q-gram index.
+
+    Items whose edits may leave no q-gram whole have indexes of a smaller q of their own, ``narrow``, whose ids are places in ``ids``.
+    """
 
     def __init__(self, block: list, q: int, budget: float) -> None:
+        if not 0 <= budget < 1:
+            raise ValueError("budget is a share of an item's length, below 1")
+        narrow: dict[int, list] = {}
         self.q, self.ids, self.codes, self.exact = q, [], [], []
         for item, text in sorted(block, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
             codes = plain(unicodedata.normalize("NFC", text))[0]
-            if len(codes) > q:
+            fits = len(codes) // (int(len(codes) * budget) + 1)
+            if len(codes) > q > fits:
+                narrow.setdefault(fits, []).append((item, text))
+            elif len(codes) > q:
                 self.codes.append(codes)
                 self.ids.append(item)
             elif len(codes):
@@ -160,8 +169,7 @@ class _Items:
             self.ids.append(item)
         long = self.codes[: self.first_exact]
         sizes = np.array([len(c) for c in long], np.int64)
-        # No more edits than leave one shared q-gram to find the region by.
-        self.edits = np.minimum((sizes * budget).astype(np.int64), (sizes - q) // q)
+        self.edits = (sizes * budget).astype(np.int64)
         self.least = sizes - q + 1 - q * self.edits
         grams = [rolling(c.astype(np.uint64), q) for c in long]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
@@ -172,6 +180,11 @@ class _Items:
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.grams >> np.uint64(44)).astype(np.int64)] = True
         self.overlap = int(max([*sizes + 2 * self.edits, q], default=q)) + 2
+        self.narrow, self.reach = [], self.overlap
+        for size, own in sorted(narrow.items()):
+            self.narrow.append(_Items([(len(self.ids) + n, text) for n, (_, text) in enumerate(own)], size, budget))
+            self.ids.extend(item for item, _ in own)
+            self.reach = max(self.reach, self.narrow[-1].overlap)
 
 
 def _matches(texts: list[bytes], known: _Items) -> list[tuple]:
@@ -180,7 +193,7 @@ def _matches(texts: list[bytes], known: _Items) -> list[tuple]:
     for i, text in enumerate(texts):
         codes, begin, end = _placed(text.decode())
         for low in range(0, max(1, len(codes)), PART_CHARS):
-            part = slice(low, low + PART_CHARS + known.overlap)
+            part = slice(low, low + PART_CHARS + known.reach)
             if len(codes[part]):
                 parts.append((i, codes[part], begin[part], end[part]))
                 size += len(codes[part])
@@ -209,7 +222,8 @@ def _in_parts(parts: list[tuple], known: _Items) -> Iterator[tuple]:
     gap = np.array([GAP])
     line = np.concatenate([x for _, codes, _, _ in parts for x in (codes, gap)])
     starts = np.cumsum([0] + [len(codes) + 1 for _, codes, _, _ in parts])
-    for item, begin, stop, edits in [*_candidates(line, known), *_as_they_are(line, known)]:
+    few = [(own.ids[m[0]], *m[1:]) for own in known.narrow for m in _candidates(line, own)]
+    for item, begin, stop, edits in [*_candidates(line, known), *_as_they_are(line, known), *few]:
         at = int(np.searchsorted(starts, begin, side="right")) - 1
         who, codes, first, past = parts[at]
         a, b = begin - int(starts[at]), stop - int(starts[at])

@@ -116,6 +116,21 @@ def test_wide_setting_equals_brute_force(monkeypatch, hits):
     assert got == want and len(want) > 15
 
 
+@pytest.mark.parametrize("q, budget", [(7, 0.1), (7, 0.2), (6, 0.12), (7, 0.3)])
+def test_the_whole_budget_holds_for_every_item(q, budget):
+    r = random.Random(3)
+    line = lambda n: " ".join("".join(r.choice("etaonrish") for _ in range(r.randint(2, 5))) for _ in range(n))
+    items = [(100 + i, line(r.choice([3, 4, 5, 12]))) for i in range(40)]
+    items = [(i, t) for i, t in items if len(t) > q]
+    texts = [line(5) + " " + damage(r, t, r.randint(0, int(len(t) * budget) + 1)) + " " + line(5) for _, t in items for _ in range(5)]
+    known = decontaminate._Items(items, q, budget)
+    got = {(m[0], known.ids[m[1]]) for m in decontaminate._matches([t.encode() for t in texts], known)}
+    near = lambda t, item: distance_in(decontaminate.plain(t)[0], decontaminate.plain(item)[0]) <= int(len(item) * budget)
+    assert got == {(i, j) for i, t in enumerate(texts) for j, item in items if near(t, item)} and len(got) > 60
+    with pytest.raises(ValueError):
+        decontaminate._Items(items, q, 1.0)
+
+
 def test_decomposed_copies_are_found_where_they_stand(spark):
     text = "mañana él dirá qué pasó aquí según dónde está más allá de así también"
     forms = {i: unicodedata.normalize(f, text) for i, f in enumerate(("NFC", "NFD"))}
