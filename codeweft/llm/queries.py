@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import decontaminate, html_text, jaccard_join, lattice_lm, license_scan, nearest, packing, substring_dedup, toxicity, url_rules
+from codeweft.llm import decontaminate, html_text, jaccard_join, lattice_lm, license_scan, merkle, nearest, packing, substring_dedup, toxicity, url_rules
 from codeweft.llm.words import training
 
 
@@ -157,6 +157,68 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: What op13 hashes of a document.
+MANIFEST_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    values = [F.col(c) for c in MANIFEST_COLUMNS]
+    # A copy in which line ends were lost, for every second document; other rows claim what they are.
+    damaged = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.col("text").contains("\n")
+    claimed = F.when(damaged, merkle.digest([*values[:-1], F.translate("text", "\n", "")]))
+    manifest = merkle.build(docs, merkle.digest(values), F.col("source"), F.col("doc_id"), claimed, carry=("doc_id",))
+    proof = F.sha2(F.lower(F.hex("siblings")).cast("binary"), 256)
+    return merkle.prove(manifest).select("row.doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), F.col("folded").alias("folded_root"), "verified")
+
+
+def _hashed(text: str) -> str:
+    parts = [text if c == "text" else f"{c}::VARCHAR" for c in MANIFEST_COLUMNS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({p}) || ':' || {p}, '-')" for p in parts) + ")"
+
+
+OP13_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, {_hashed("text")} AS leaf, row_number() OVER () AS nth,
+    -- CRC-32 of the decimal id, bit by bit
+    CASE WHEN xor(list_reduce(
+        list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 2 = 0
+      THEN {_hashed("replace(text, chr(10), '')")} END AS damaged
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves
+), nodes(tree, lvl, pos, h, n) AS (
+  SELECT source, 0, pos, leaf, n FROM placed
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 2) // 3 FROM nodes WHERE n > 1 GROUP BY tree, lvl, pos // 3
+), subroots AS (
+  SELECT tree, h AS subroot, row_number() OVER (ORDER BY encode(tree) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops(lvl, pos, h, n) AS (
+  SELECT 0, pos, subroot, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 2) // 3 FROM tops WHERE n > 1 GROUP BY lvl, pos // 3
+), steps AS (
+  SELECT p.nth, 0 AS part, x.lvl, x.pos - p.pos // (3 ** x.lvl)::BIGINT AS side, x.h
+  FROM placed p JOIN nodes x ON x.tree IS NOT DISTINCT FROM p.source AND x.n > 1 AND x.pos // 3 = p.pos // (3 ** (x.lvl + 1))::BIGINT
+  UNION ALL
+  SELECT p.nth, 1, x.lvl, x.pos - s.pos // (3 ** x.lvl)::BIGINT, x.h
+  FROM placed p JOIN subroots s ON s.tree IS NOT DISTINCT FROM p.source JOIN tops x ON x.n > 1 AND x.pos // 3 = s.pos // (3 ** (x.lvl + 1))::BIGINT
+), levels AS (
+  SELECT nth, part, lvl, coalesce(string_agg(h, '' ORDER BY side) FILTER (side < 0), '') AS l, coalesce(string_agg(h, '' ORDER BY side) FILTER (side > 0), '') AS r
+  FROM steps GROUP BY nth, part, lvl
+), proofs AS (
+  SELECT nth, string_agg(l || r, '' ORDER BY part, lvl) AS siblings, list(l || '|' || r ORDER BY part, lvl) AS path FROM levels GROUP BY nth
+), folds AS (
+  SELECT p.*, coalesce(siblings, '') AS siblings, subroot,
+    list_reduce(list_prepend(coalesce(damaged, leaf), coalesce(path, [])), lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) AS folded_root
+  FROM placed p LEFT JOIN proofs USING (nth) JOIN subroots s ON s.tree IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM folds, (SELECT h AS root FROM tops WHERE n = 1)
+"""
+
+
 QUERIES = {
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
@@ -169,4 +231,5 @@ QUERIES = {
     "op7_lattice_lm": (op7_lattice_lm, None),
     "op8_license_scan": (op8_license_scan, None),
     "op9_toxicity": (op9_toxicity, None),
+    "op13_merkle_manifest": (op13_merkle_manifest, OP13_SQL),
 }
