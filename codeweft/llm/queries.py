@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import decontaminate, html_text, jaccard_join, lattice_lm, license_scan, merkle, nearest, packing, substring_dedup, toxicity, url_rules
+from codeweft.llm import bit_sliced, decontaminate, html_text, jaccard_join, lattice_lm, license_scan, merkle, nearest, packing, substring_dedup, toxicity, url_rules
 from codeweft.llm.words import training
 
 
@@ -157,6 +157,22 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_bit_sliced(spark: SparkSession, folder: str) -> DataFrame:
+    return bit_sliced.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = """
+WITH sound AS (
+  SELECT DISTINCT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2]))::BIGINT AS score
+  FROM sound q JOIN sound c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 5
+"""
+
 #: What op13 hashes of a document.
 MANIFEST_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 
@@ -231,5 +247,6 @@ QUERIES = {
     "op7_lattice_lm": (op7_lattice_lm, None),
     "op8_license_scan": (op8_license_scan, None),
     "op9_toxicity": (op9_toxicity, None),
+    "op11_bit_sliced": (op11_bit_sliced, OP11_SQL),
     "op13_merkle_manifest": (op13_merkle_manifest, OP13_SQL),
 }
