@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import bit_sliced, decontaminate, html_text, jaccard_join, lattice_lm, license_scan, merkle, nearest, packing, substring_dedup, toxicity, url_rules
+from codeweft.llm import bag_search, bit_sliced, decontaminate, html_text, jaccard_join, lattice_lm, license_scan, merkle, nearest, packing, substring_dedup, toxicity, url_rules
 from codeweft.llm.words import training
 
 
@@ -173,6 +173,32 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 5
 """
 
+def op12_bag_search(spark: SparkSession, folder: str) -> DataFrame:
+    return bag_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+), sizes AS (
+  SELECT count(*) FILTER (len(t) > 0) AS nd, sum(len(t))::BIGINT AS nt FROM words
+), tf AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM words) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(nd) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, sizes GROUP BY term
+), asked AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL
+), scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // nt))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term), sizes GROUP BY item_id, doc_id
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
 #: What op13 hashes of a document.
 MANIFEST_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 
@@ -248,5 +274,6 @@ QUERIES = {
     "op8_license_scan": (op8_license_scan, None),
     "op9_toxicity": (op9_toxicity, None),
     "op11_bit_sliced": (op11_bit_sliced, OP11_SQL),
+    "op12_bag_search": (op12_bag_search, OP12_SQL),
     "op13_merkle_manifest": (op13_merkle_manifest, OP13_SQL),
 }
