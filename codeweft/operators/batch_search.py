@@ -25,9 +25,9 @@ TIE_DECIMALS = 9
 
 
 def batch_search(
-    rows: DataFrame, row_key: str, queries: DataFrame, collector: Callable, schema: str, limit: int = BROADCAST_BYTES
+    rows: DataFrame, row_key: str, queries: DataFrame, collector: Callable, schema: str, limit: int = BROADCAST_BYTES, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
-    """Partial best rows per query; the caller ranks them once more."""
+    """Partial best rows per query; the caller ranks them once more. ``shard_rows`` rows meet one block of a large batch."""
     rows = rows.join(broadcast_if_small(queries.select("repo_id").distinct()), "repo_id", "left_semi")
     if measured_bytes(queries) <= limit:
         shared = rows.sparkSession.sparkContext.broadcast(queries.toArrow())
@@ -42,8 +42,8 @@ def batch_search(
         return spread(rows, row_key).mapInArrow(scan, schema)
 
     queries = cut(queries)
-    blocks = queries.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK_ROWS).cast("int").alias("blocks"))
-    shards = rows.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("shards"))
+    blocks = queries.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK_ROWS).cast("int").alias("_blocks"))
+    shards = rows.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("_shards"))
     parts = cut(blocks.join(shards, "repo_id"))
 
     def dealt(df: DataFrame, own: str, key: str, other: str) -> DataFrame:
@@ -51,8 +51,8 @@ def batch_search(
         mine = F.pmod(F.xxhash64(key), F.col(f"{own}s")).cast("int").alias(own)
         return known.select(*df.columns, mine, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other))
 
-    left = dealt(rows, "shard", row_key, "block")
-    right = dealt(queries, "block", "query_id", "shard")
+    left = dealt(rows, "_shard", row_key, "_block")
+    right = dealt(queries, "_block", "query_id", "_shard")
 
     def meet(found: pa.Table, asked: pa.Table) -> pa.Table:
         best = collector(asked)
@@ -60,7 +60,7 @@ def batch_search(
             best.add(found)
         return best.result()
 
-    by = ["repo_id", "block", "shard"]
+    by = ["repo_id", "_block", "_shard"]
     return left.groupBy(by).cogroup(right.groupBy(by)).applyInArrow(meet, schema)
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import fnmatch
+import math
 import random
 import re
 from collections import deque
@@ -152,6 +153,72 @@ def test_bm25_shuffled_join_equals_broadcast(spark, monkeypatch):
     assert {(q, i) for q, i, *_ in got} == {(1, 1), (2, 2), (2, 3)}
 
 
+def _bm25(documents, query, k):
+    """Scores of every document by the formula, best first."""
+    tokens = {i: re.findall(r"[a-z_][a-z0-9_]+|[0-9]+", t.lower()) for i, t in documents}
+    n, mean = len(tokens), sum(map(len, tokens.values())) / len(tokens)
+    df = {}
+    for words in tokens.values():
+        for w in set(words):
+            df[w] = df.get(w, 0) + 1
+    raw = {w: math.log(n - c + 0.5) - math.log(c + 0.5) for w, c in df.items()}
+    average = sum(raw.values()) / len(raw)
+    idf = {w: x if x >= 0 else 0.25 * average for w, x in raw.items()}
+    found = []
+    for i, words in tokens.items():
+        score = sum(idf[w] * words.count(w) * 2.5 / (words.count(w) + 1.5 * (0.25 + 0.75 * len(words) / mean)) for w in query.split() if w in words)
+        if score > 0:
+            found.append((-round(score, 9), i))
+    return [(i, -s) for s, i in sorted(found)[:k]]
+
+
+def _word_documents(rng, n):
+    """Texts with some common words, one of 40 rarer words, and one of 400 rare ones; the last are copies of one."""
+    def text():
+        return " ".join(rng.choices(["the", "of", "and", "to"], k=rng.randint(5, 40)) + [f"mid{rng.randrange(40)}", f"rare{rng.randrange(400)}"] * rng.randint(1, 3))
+
+    documents = [(i, text()) for i in range(n)]
+    return documents + [(n + i, documents[0][1]) for i in range(60)] + [(n + 100, ""), (n + 101, "?!")]
+
+
+@pytest.mark.parametrize("segment_postings, few", [(10**6, 64), (300, 64), (300, 0), (60, 0)])
+def test_block_max_search_equals_scoring_everything(spark, segment_postings, few):
+    rng = random.Random(8)
+    documents = _word_documents(rng, 900)
+    queries = [f"rare{i}" for i in range(0, 400, 9)] + ["the", "the of and to", "mid3 rare5 the", "mid7 mid7 of", "none", "none rare9", " ".join(documents[0][1].split())]
+    table = spark.createDataFrame([("r", i, t) for i, t in documents], "repo_id string, id int, text string")
+    asked = spark.createDataFrame([(q, "r", text) for q, text in enumerate(queries)], "query_id int, repo_id string, query string")
+    index = keyword.build_keyword_index(table)
+    lists = keyword.inverted_lists(index.postings, keyword.corpus_sizes(table, index.postings), segment_postings)
+    index = keyword.KeywordIndex(index.postings, index.term_stats, lists.cache())
+    found = {}
+    for row in keyword.bm25_search(index, asked, 8, few_segments=few).orderBy("query_id", "rank").collect():
+        found.setdefault(row.query_id, []).append((row.id, round(row.score, 9)))
+    for q, text in enumerate(queries):
+        want = _bm25(documents, text, 8)
+        got = found.get(q, [])
+        assert [i for i, _ in got] == [i for i, _ in want], text
+        assert [s for _, s in got] == pytest.approx([s for _, s in want])
+
+
+def test_rare_terms_score_few_documents(spark):
+    documents = _word_documents(random.Random(9), 3000)
+    table = spark.createDataFrame([("r", i, t) for i, t in documents], "repo_id string, id int, text string")
+    index = keyword.build_keyword_index(table)
+    queries = [f"the rare{i} of" for i in range(0, 400, 20)]
+    asked = spark.createDataFrame([(q, "r", text) for q, text in enumerate(queries)], "query_id int, repo_id string, query string")
+    lists = keyword.inverted_lists(index.postings, keyword.corpus_sizes(table, index.postings), 1000).cache()
+    weights, usable = keyword.search_bounds(keyword.KeywordIndex(index.postings, index.term_stats, lists), keyword.query_weights(index, asked).cache(), 3)
+    read = lists.join(usable, ["repo_id", "segment"], "left_semi")
+    best = keyword._BestDocuments(weights.toArrow(), 3)
+    best.add(read.toArrow())
+    # Every document holds "the" or "of"; the bounds leave a few blocks around the rare words.
+    assert 0 < best.scored < 0.2 * len(queries) * len(documents)
+    only = spark.createDataFrame([(1, "r", "rare7")], asked.schema)
+    _, usable = keyword.search_bounds(keyword.KeywordIndex(index.postings, index.term_stats, lists), keyword.query_weights(index, only).cache(), 3)
+    assert 0 < usable.count() < 0.5 * lists.count()
+
+
 def test_sentence_chunks_cover_all_words(spark):
     rng = random.Random(3)
     long_text = " ".join(" ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.randint(1, 40))) + rng.choice(".!?\n") for _ in range(120))
