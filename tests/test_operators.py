@@ -6,6 +6,8 @@ import random
 import re
 from collections import deque
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +94,40 @@ def test_partial_ratio_against_brute_force():
             assert got == pytest.approx(brute_partial(query, name) if len(name) < 60 and len(query) < 60 else similarity.partial_ratio(query, name))
 
 
+def test_similarity_bounds_hold():
+    rng = random.Random(12)
+    letters = "abcde._ "
+    names = ["".join(rng.choices(letters, k=rng.randint(0, 14))) for _ in range(300)] + ["", " ", "a", "b a", "a" * 70, "abc" * 30]
+    table = similarity.NameTable(names)
+    for query in ["a", "ab", "b  a", "abcde", "edcba", "a.b_c", "abcabcabcabcabc", "x", "zzzz", "abc" * 25] + names[:40]:
+        partial, whole = table.partial_ratio(query), table.token_sort_ratio(query)
+        assert (table.partial_bound(query)[table.inverse] >= partial - 1e-12).all(), query
+        assert (table.token_sort_bound(query)[table.inverse] >= whole - 1e-12).all(), query
+        some = np.array([rng.random() < 0.5 for _ in table.names])
+        for part, every in ((table.partial_ratio(query, some), partial), (table.token_sort_ratio(query, some), whole)):
+            assert (part == np.where(some[table.inverse], every, 0)).all()
+
+
+def test_few_names_are_compared():
+    rng = random.Random(13)
+    words = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(3, 8))) for _ in range(300)]
+    names = ["_".join(rng.choices(words, k=2)) for _ in range(4000)]
+    rows = pa.table({"repo_id": ["r"] * 4000, "qualified_name": [f"pkg.{n}" for n in names], "name": names, "key": [f"{i:05d}" for i in range(4000)]})
+    queries = [n.replace("_", "") for n in names[:20]] + [n[:3] + "x" + n[4:] for n in names[20:40]]
+    asked = pa.table({"query_id": list(range(40)), "repo_id": ["r"] * 40, "query": queries, "top_n": [5] * 40})
+    nearest = suggest._NearestNames(asked)
+    for low in range(0, 4000, 1000):
+        nearest.add(rows.slice(low, 1000))
+    qnames, short = similarity.NameTable(rows["qualified_name"].to_pylist()), similarity.NameTable(names)
+    got = {}
+    for row in nearest.result().to_pylist():
+        got.setdefault(row["query_id"], []).append(row["id"])
+    for q, query in enumerate(queries):
+        near = np.round(suggest._near(query, qnames, short), 9)
+        assert got[q] == [f"{i:05d}" for i in np.lexsort((np.arange(4000), -near))[:5]]
+    assert nearest.pairs == 160_000 and nearest.computed < 0.2 * nearest.pairs
+
+
 def test_fuzzy_suggestion_against_brute_force(spark, symbols):
     queries = spark.createDataFrame([("q1", "totlup"), ("q2", "run"), ("q3", "  "), ("q4", "shop.desk.take")], "query_id string, query string")
     queries = queries.withColumn("repo_id", F.lit(symbols.first().repo_id))
