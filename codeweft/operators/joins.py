@@ -12,12 +12,16 @@ HOT_ROWS = 1_000_000
 ROWS_PER_SALT = 500_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, most: int | None = None) -> DataFrame | None:
     """Keys with more than ``hot_rows`` rows and their number of salts, or None when there are none.
 
+    ``most`` is a number of rows that no key exceeds, where the caller knows one (all rows of a table, for instance).
+
     Counting combines map-side. Rows / hot_rows keys can qualify, so the table grows with the data, if slowly: it stays a
     table, and its joins broadcast it only where it measures small.
     """
+    if most is not None and most <= hot_rows:
+        return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     salts = F.ceil(F.col("_n") / F.lit(min(hot_rows, ROWS_PER_SALT))).cast("int")
     found = cut(counts.select(*keys, salts.alias("_salts")))
