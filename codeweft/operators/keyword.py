@@ -135,7 +135,11 @@ def _invert(rows: pa.Table) -> pa.Table:
 
 def build_keyword_index(documents: DataFrame) -> KeywordIndex:
     """Index tables of (repo_id, id, text), kept in the checkpoint folder: statistics and searches read them."""
-    table = cut(postings(documents))
+    return index_of(documents, cut(postings(documents)))
+
+
+def index_of(documents: DataFrame, table: DataFrame) -> KeywordIndex:
+    """Index of documents (of which only ``repo_id`` is read) whose postings are the stored ``table``."""
     corpus = cut(corpus_sizes(documents, table))
     lists = cut(inverted_lists(table, corpus))
     return KeywordIndex(postings=table, term_stats=term_stats(lists, corpus), lists=lists)
