@@ -5,6 +5,10 @@ article (and containers inside it) are counted per host, in distinct pages (page
 often they are repeated and under whatever url); those on many pages of a host are that site's template and are deleted, together with what markup names as navigation, header, footer, sidebar, notice, advert, form, script,
 style or reader comments. What is left of the article is written block by block.
 
+Pages that differ in a headline or a date only are different pages, and what they share is no template but their story. So an
+article never loses half of its text or more to templates: then it keeps all of it. A page without an article keeps a subtree of
+running text that is half of the page, unless half of the host's pages hold it. Neither guards less than FEW_WORDS words.
+
 Copies are merged inside each task before (host, hash, text) shuffles, and counts before (host, hash) does, so a host with a third
 of all pages is spread over tasks by its subtrees and pages. Templates go back to the pages as a broadcast only if they measure small; otherwise pages join them by host,
 which adaptive execution can split. Pages are parsed twice, which is cheaper than shuffling them.
@@ -30,8 +34,12 @@ from codeweft.session import cut
 #: A subtree is template from so many pages of a host on, if they are also this share of the host's pages.
 LEAST_PAGES = 4
 LEAST_SHARE = 0.2
-#: Containers are template from so many pages on, whatever their share of the host's pages is.
+#: Containers outside articles are template from so many pages on, whatever their share of the host's pages is.
 MANY_PAGES = 50
+#: A subtree on this share of a host's pages is template even if it is most of a page without an article.
+SURE_SHARE = 0.5
+#: Less than that is a box, not a story.
+FEW_WORDS = 8
 #: Template subtrees that may be broadcast (8 bytes each and a host's name).
 BROADCAST_ROWS = 500_000
 #: Levels of nesting kept, as browsers keep some hundreds; no text is lost by it.
@@ -53,6 +61,11 @@ NAMED = frozenset(
     "ad ads adv advert advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar "
     "navigation newsletter notice overlay pagination paywall popup promo promoted related replies search share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Words that may stand beside one of the former in a name of the same meaning: ``site-header``, ``share-buttons``.
+BESIDE = frozenset(
+    "area bar block bottom box button buttons container desktop fixed global group holder icon icons inner item items left link links list lower main mobile page panel primary right row "
+    "secondary section side site sticky top unit upper wrap wrapper zone".split()
+)
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Which open elements a start tag closes, up to which enclosing one.
 CLOSES = {
@@ -135,7 +148,7 @@ def _named_away(element: Element, in_article: bool) -> bool:
     if element.tag == "header":
         return not (in_article and _has_heading(element))
     if not element.attributes or element.tag in ("html", "body", "article", "main"):
-        return element.tag == "article" and in_article and bool(_words(element) & {"comment", "comments", "reply"})
+        return element.tag == "article" and in_article and any({"comment", "comments", "reply"} & set(parts) for parts in _names(element))
     for name, *values in _ATTRIBUTE.findall(element.attributes):
         value = "".join(values).lower()
         name = name.lower()
@@ -143,21 +156,46 @@ def _named_away(element: Element, in_article: bool) -> bool:
             return True
         if name == "role" and set(value.split()) & ROLES:
             return True
-    return bool(_words(element) & NAMED)
+    for parts in _names(element):
+        if set(parts) & NAMED and set(parts) <= NAMED | BESIDE:
+            return True
+        # ``share-price`` may be anything; it is what its first or last word says if it is a list of links.
+        if (parts[0] in NAMED or parts[-1] in NAMED) and _linked(element):
+            return True
+    return False
 
 
-def _words(element: Element) -> set[str]:
-    """Words of class and id; one that merely describes the layout of content (``has-sidebar``) names nothing."""
-    out: set[str] = set()
+def _names(element: Element) -> list[list[str]]:
+    """The words of every class and id; a name that describes the layout of content (``has-sidebar``) is none."""
+    out = []
     for name, *values in _ATTRIBUTE.findall(element.attributes):
         if name.lower() in ("class", "id"):
             for value in "".join(values).split():
                 parts = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())
                 if parts and parts[0] not in ("has", "with", "no", "without", "is"):
-                    out.update(parts)
+                    out.append(parts)
     return out
 
 
+def _linked(element: Element) -> bool:
+    """Whether most words are those of links."""
+    words, links = _sizes(element)
+    return words > 0 and 2 * links >= words
+
+
+def _sizes(element: Element, link: bool = False) -> tuple[int, int]:
+    """Number of words, and of those in links."""
+    words = links = 0
+    for child in element.children:
+        if isinstance(child, str):
+            n = len(child.split())
+            words, links = words + n, links + (n if link else 0)
+        else:
+            a, b = _sizes(child, link or child.tag == "a")
+            words, links = words + a, links + b
+    return words, links
+
+
 def _has_heading(element: Element) -> bool:
     return any(not isinstance(c, str) and (re.fullmatch("h[1-6]", c.tag) or _has_heading(c)) for c in element.children)
 
@@ -183,7 +221,7 @@ def subtree_hashes(root: Element) -> dict[int, int]:
     """Hash of every subtree that template removal may delete, by ``id`` of the element.
 
     Outside the article any element; inside it only containers, since a paragraph that recurs on other pages is still text.
-    The lowest bit tells containers.
+    The lowest bit tells containers outside of articles.
     """
     parts = {id(p) for p in main_parts(root) if p is not root}
     out: dict[int, int] = {}
@@ -200,16 +238,44 @@ def subtree_hashes(root: Element) -> dict[int, int]:
         name = xxhash.xxh64_intdigest("\x00".join(pieces))
         free = not (inside and element.tag in TEXT_BLOCKS) and element.tag not in ("#page", "html", "head", "body", "main", "article")
         if free and not holds:
-            out[id(element)] = (name & ~1 | (element.tag not in TEXT_BLOCKS)) - (1 << 63)
+            out[id(element)] = (name & ~1 | (not inside and element.tag not in TEXT_BLOCKS)) - (1 << 63)
         return format(name, "x"), holds
 
     walk(root, False)
     return out
 
 
-def main_text(root: Element, template: frozenset | set = frozenset()) -> str:
+def _deleted(part: Element, hashes: dict[int, int], template: frozenset | set, sure: frozenset | set) -> set[int]:
+    """Which subtrees of an article, or of a page without one, are template (by ``id``); see above for what is kept."""
+    article = part.tag != "#page"
+    hits: list[tuple[Element, int, int]] = []
+
+    def walk(element: Element) -> int:
+        """Words of what is not named away, template included."""
+        words = 0
+        for child in element.children:
+            if isinstance(child, str):
+                words += len(child.split())
+            elif not _named_away(child, article):
+                if hashes.get(id(child)) in template:
+                    sizes = _sizes(child)
+                    hits.append((child, *sizes))
+                    words += sizes[0]
+                else:
+                    words += walk(child)
+        return words
+
+    total = walk(part)
+    if article:
+        gone = sum(words for _, words, _ in hits)
+        return set() if gone >= FEW_WORDS and 2 * gone >= total else {id(e) for e, _, _ in hits}
+    return {id(e) for e, words, links in hits if hashes[id(e)] in sure or words < FEW_WORDS or 2 * words < total or 2 * links >= words}
+
+
+def main_text(root: Element, template: frozenset | set = frozenset(), sure: frozenset | set = frozenset()) -> str:
     parts = main_parts(root)
     hashes = subtree_hashes(root) if template else {}
+    deleted = set().union(*(_deleted(part, hashes, template, sure) for part in parts)) if template else set()
     blocks: list[str] = []
     run: list[str] = []
 
@@ -225,7 +291,7 @@ def main_text(root: Element, template: frozenset | set = frozenset()) -> str:
                 run.append(child)
             elif child.tag == "br":
                 run.append(" ")
-            elif child.tag == "img" or _named_away(child, in_article) or hashes.get(id(child)) in template:
+            elif child.tag == "img" or _named_away(child, in_article) or id(child) in deleted:
                 if child.tag in BLOCK:
                     flush()
             elif child.tag in BLOCK:
@@ -252,16 +318,18 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     sums = cut(sums.filter(F.col("hash").isNull() | (F.col("n") >= LEAST_PAGES)))
     totals = sums.filter("hash is null").select("host", F.col("n").alias("pages"))
     many = (F.col("n") >= MANY_PAGES) & (F.col("hash").bitwiseAND(F.lit(1)) == 1)
-    template = cut(sums.filter("hash is not null").join(totals, "host").filter((F.col("n") >= F.col("pages") * LEAST_SHARE) | many).select("host", "hash"))
+    template = cut(sums.filter("hash is not null").join(totals, "host").filter((F.col("n") >= F.col("pages") * LEAST_SHARE) | many).select("host", "hash", (F.col("n") >= F.col("pages") * SURE_SHARE).alias("sure")))
     schema = rows.select("row").schema.add("text", "string")
     if template.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        found: dict[str, set] = {}
-        for host, hash_ in template.toLocalIterator():
-            found.setdefault(host, set()).add(hash_)
+        found: dict[str, tuple[set, set]] = {}
+        for host, hash_, sure in template.toLocalIterator():
+            own = found.setdefault(host, (set(), set()))
+            for kept_ in own if sure else own[:1]:
+                kept_.add(hash_)
         shared = rows.sparkSession.sparkContext.broadcast(found)
         done = rows.mapInArrow(lambda it: _extract(it, shared), schema)
     else:
-        lists = template.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+        lists = template.groupBy("host").agg(F.collect_list("hash").alias("hashes"), F.collect_list(F.when(F.col("sure"), F.col("hash"))).alias("sure"))
         done = rows.join(lists, "host", "left").mapInArrow(lambda it: _extract(it, None), schema)
     return done.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("text").alias("main_text"))
 
@@ -290,8 +358,9 @@ def _extract(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
     for batch in batches:
         hosts, pages = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("host", "page"))
         if shared:
-            own = [shared.value.get(h, frozenset()) for h in hosts]
+            own = [shared.value.get(h, (frozenset(), frozenset())) for h in hosts]
         else:
-            own = [frozenset(x or ()) for x in batch.column(batch.schema.get_field_index("hashes")).to_pylist()]
-        texts = [main_text(parse(p), t) for p, t in zip(pages, own, strict=True)]
+            lists = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("hashes", "sure"))
+            own = [(frozenset(x or ()), frozenset(y or ())) for x, y in zip(*lists, strict=True)]
+        texts = [main_text(parse(p), *t) for p, t in zip(pages, own, strict=True)]
         yield pa.record_batch([batch.column(batch.schema.get_field_index("row")), pa.array(texts, pa.string())], ["row", "text"])

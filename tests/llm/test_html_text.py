@@ -16,6 +16,8 @@ CASES = {
     "<article>plain <i>inline</i> text<article class=comment>no</article></article>": "plain inline text",
     "<article class=\"post has-sidebar\"><p hidden>no</p><p>yes</p><div style='display: none'>no</div></article>": "yes",
     "just text &copy; here": "just text © here",
+    "<article><p class='share-price'>Up to 12.</p><div class='social-issues'>On rent.</div><section id='search-for-meaning'>A life.</section><div class='article-notice-board'>Lost cat.</div></article>": "Up to 12.\nOn rent.\nA life.\nLost cat.",
+    "<article><p>x</p><div class='share-buttons'>no</div><div id=siteHeader>no</div><ul class='social-icons list'><li>no</ul><div class='related-stories'><a>no more</a> of</div></article>": "x",
     "": "",
     "<article></article>": "",
     "<p>unclosed <b": "unclosed <b",
@@ -77,3 +79,39 @@ def test_a_box_on_many_pages_of_a_large_host_is_template(spark):
     texts = {r.page_id: r.main_text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     # Only containers go by number alone: a line of text that recurs on a sixth of the pages stays, but nothing of a box on fifty.
     assert texts[7] == "Same line\ntext 7" and texts[60] == "text 60" and texts[1007] == "Our offers\ntext 7"
+
+
+STORY = "<div class=content><p>The council met on Monday and voted for the new bridge.</p><p>Work starts in spring, the mayor said.</p></div>"
+KEPT = "The council met on Monday and voted for the new bridge.\nWork starts in spring, the mayor said."
+
+
+@pytest.mark.parametrize("copies, others", [(60, 240), (5, 15), (30, 0)])
+@pytest.mark.parametrize("article", [True, False])
+def test_near_copies_keep_their_story(spark, copies, others, article):
+    halves = "<div><p>One half of it is told in a box of its own.</p></div><div><p>The other half is told in another box here.</p></div>"
+    box = "<div><p>Our shop</p></div>"
+
+    def page(text):
+        return f"<body>{'<article>' if article else ''}{text}{box}{'</article>' if article else ''}</body>"
+
+    rows = [(i, f"http://a.com/{i}", page(f"<h1>Headline {i}</h1>{STORY}")) for i in range(copies)]
+    rows += [(1000 + i, f"http://b.com/{i}", page(f"<p>{i} March</p>{halves}")) for i in range(copies if article else 0)]
+    rows += [(2000 + i, f"http://{h}.com/x{i}", page(f"<p>Other text number {i} is about something else altogether.</p>")) for h in "ab" for i in range(others)]
+    texts = {r.page_id: r.main_text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(copies):
+        if article:
+            # The box is template too, but deleting all that recurs would take most of these articles.
+            assert texts[i] == f"Headline {i}\n{KEPT}\nOur shop"
+            assert texts[1000 + i].startswith(f"{i} March\nOne half") and "The other half" in texts[1000 + i]
+        elif others:
+            assert texts[i] == f"Headline {i}\n{KEPT}"
+    for i in range(others):
+        assert texts[2000 + i] == f"Other text number {i} is about something else altogether."
+
+
+def test_long_template_outside_articles_goes(spark):
+    legal = "<div><p>All rights are reserved by us, and nothing on this site may be copied without our written permission.</p></div>"
+    links = "<div><a>Home</a> <a>All about us</a> <a>What we sell</a> <a>Where to find us</a> <a>Jobs and people</a></div>"
+    rows = [(i, f"http://a.com/{i}", f"<body><p>text {i}</p>{legal}{links if i % 3 == 0 else ''}</body>") for i in range(40)]
+    texts = {r.page_id: r.main_text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(texts[i] == f"text {i}" for i in range(40))
