@@ -82,7 +82,7 @@ def op7_lattice_lm(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = license_scan.scan(_table(spark, folder, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "license", "coverage", "matched", "words", "start", "stop")
+    return found.select(F.col("id").alias("doc_id"), "license", "coverage", "matched", "inserted", "words", "start", "stop")
 
 
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
