@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_QUERIES = 16_384
-SHARD_ROWS = 65_536
+#: Bounds of a group: numbers (rows times their length) of a block of queries and of a shard of candidates.
+BLOCK_NUMBERS = 1 << 20
+SHARD_NUMBERS = 1 << 22
 TILE = (512, 4_096)
 _OUT = "query_id long, vec_id long, score double"
 
@@ -36,9 +37,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.filter(F.col("id").isNotNull() & F.coalesce(sound, F.lit(False)))
-    n, asked = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
-    shards = max(1, -(-n // SHARD_ROWS), min(2 * cores, n // 2_000))
-    blocks = max(1, -(-asked // BLOCK_QUERIES))
+    size = F.size("v").cast("long")
+    n, numbers, asked = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(F.col("asks"), size)), F.lit(0))).first()
+    shards = max(1, -(-numbers // SHARD_NUMBERS), min(2 * cores, n // 2_000))
+    blocks = max(1, -(-asked // BLOCK_NUMBERS))
     rows = rows.distinct().withColumn("dim", F.size("v"))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     queries = rows.filter("asks").select(F.pmod(F.hash("id", "v"), F.lit(blocks)).alias("block"), every(shards).alias("shard"), "dim", "id", "v")

@@ -36,8 +36,8 @@ def brute(rows, k):
 @pytest.mark.parametrize("seed, tile, shard", [(1, (512, 4096), 65536), (2, (7, 11), 40), (3, (3, 2), 25)])
 def test_equals_brute_force(spark, monkeypatch, seed, tile, shard):
     monkeypatch.setattr(nearest, "TILE", tile)
-    monkeypatch.setattr(nearest, "SHARD_ROWS", shard)
-    monkeypatch.setattr(nearest, "BLOCK_QUERIES", 30)
+    monkeypatch.setattr(nearest, "SHARD_NUMBERS", 8 * shard)
+    monkeypatch.setattr(nearest, "BLOCK_NUMBERS", 8 * 30)
     r = random.Random(seed)
     pool = [[r.choice([0.0, 1.0, -2.5, r.gauss(0, 1)]) for _ in range(8)] for _ in range(50)]
     rows = [(i, r.choice(pool) if i % 4 else [r.gauss(0, 10 ** r.randint(-3, 3)) for _ in range(8)]) for i in range(180)]
@@ -54,7 +54,7 @@ def test_equals_brute_force(spark, monkeypatch, seed, tile, shard):
 @pytest.mark.parametrize("tile, shard", [((512, 4096), 65536), ((7, 11), 65536), ((5, 9), 60)])
 def test_an_id_with_many_near_vectors_takes_one_place(spark, monkeypatch, tile, shard):
     monkeypatch.setattr(nearest, "TILE", tile)
-    monkeypatch.setattr(nearest, "SHARD_ROWS", shard)
+    monkeypatch.setattr(nearest, "SHARD_NUMBERS", 6 * shard)
     r = random.Random(4)
     rows = [(i, [1.0 + r.gauss(0, 0.3) for _ in range(6)]) for i in range(90)]
     rows += [(1000, [3.0 + r.gauss(0, 0.1) for _ in range(6)]) for _ in range(60)]  # near every query, a third of all rows
@@ -68,7 +68,7 @@ def test_an_id_with_many_near_vectors_takes_one_place(spark, monkeypatch, tile,
 
 
 def test_rows_of_one_id_are_spread_over_shards(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "SHARD_ROWS", 50)
+    monkeypatch.setattr(nearest, "SHARD_NUMBERS", 4 * 50)
     sizes = spark.sparkContext.accumulator(0)
     join, r = nearest._join, random.Random(5)
 
@@ -85,3 +85,21 @@ def test_rows_of_one_id_are_spread_over_shards(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert nearest.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") >= 0).count() == 0
+
+
+def test_groups_are_bounded_by_numbers(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "SHARD_NUMBERS", 4_000)
+    monkeypatch.setattr(nearest, "BLOCK_NUMBERS", 1_000)
+    large = spark.sparkContext.accumulator(0)
+    join, r = nearest._join, random.Random(6)
+
+    def seen(q, c, k):
+        # Hashing deals rows unevenly, but not by a factor of two.
+        if c.num_rows * 40 > 8_000 or q.num_rows * 40 > 2_000:
+            large.add(1)
+        return join(q, c, k)
+
+    monkeypatch.setattr(nearest, "_join", seen)
+    rows = [(i, [r.gauss(0, 1) for _ in range(40)]) for i in range(600)]
+    nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, k=3).collect()
+    assert large.value == 0
