@@ -5,11 +5,14 @@ frequencies, near copies counted once) label the tokens of the toxic ones; the f
 ascent on its exact likelihood. Every token of a text then gets the forward-backward marginal of the toxic label; the
 marginals are summed into three document features and a logistic function of them is the score.
 
-Only words enter: no id, language, source or label. The fit sees at most ``SAMPLE_ROWS`` labelled documents (those with the
-smallest id hashes), whole texts, in one task; scoring is a map over all documents and shuffles nothing.
+Only words enter: no id, language, source or label. The fit sees at most ``SAMPLE_ROWS`` labelled documents, half of them of
+either label (those with the smallest id hashes; the scores are corrected for the labels' true shares), whole texts of at most
+``SAMPLE_BYTES`` together and ``TEXT_BYTES`` each, in one task. An id with several texts is sampled by one of them, that of the
+smallest hash. Scoring is a map over all documents and shuffles nothing.
 
 Defined results: null and empty texts get the score of a text without toxic tokens; ids labelled twice count as toxic if any
-label is 1; null labels are skipped; without labelled rows of both kinds every score is the (smoothed) share of toxic rows.
+label is 1; null labels are skipped; without labelled rows of both kinds every score is the (smoothed) share of toxic rows; columns named ``toxic_score`` or
+``toxic_spans`` are replaced.
 """
 
 from __future__ import annotations
@@ -21,13 +24,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.llm.words import LOWER_BYTES, encode_words, keyed, mix, rolling, text_chunks, training, word_hashes
+from codeweft.llm.words import LOWER_BYTES, encode_words, kept_names, keyed, mix, rolling, text_chunks, training, word_hashes
 
 #: Bounds of the fit: labelled documents looked at, those the field is fitted to, and words that may carry a weight.
 SAMPLE_ROWS = 6_000
+SAMPLE_BYTES = 64 << 20
+TEXT_BYTES = 1 << 20
 FIELD_ROWS = 1_200
 MOST_WORDS = 5_000
 STEPS = 60
@@ -39,18 +44,29 @@ SPAN = "array<struct<start:long,stop:long,p:double>>"
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 5) -> dict:
     """The fitted model, a small dictionary: weights of at most ``MOST_WORDS`` words and a dozen numbers."""
     rows = keyed(docs, id_col, text_col)
-    marked = labels.select(labels[id_col].cast("long").alias("k"), labels[label_col].cast("int").alias("y")).filter("k is not null and y is not null")
+    marked = labels.select(labels[id_col].cast("long").alias("k"), (labels[label_col].cast("int") > 0).cast("int").alias("y")).filter("k is not null and y is not null")
     chosen = marked.filter(training(F.col("k"), parts)).groupBy("k").agg(F.max("y").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(SAMPLE_ROWS)
-    # SAMPLE_ROWS bounds the broadcast side.
-    sample = rows.select("k", "tie", "text").join(F.broadcast(chosen), "k").groupBy("k", "tie").agg(F.first("text").alias("text"), F.first("y").alias("y"))
+    half, turn = SAMPLE_ROWS // 2, F.xxhash64("k")
+    totals = dict(chosen.groupBy("y").count().collect())
+    ranked = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy(turn, "k")))
+    # SAMPLE_ROWS bounds every broadcast side here and the rows of the window over sizes.
+    chosen = ranked.filter(F.col("rank") <= half).select("k", "y", "rank")
+    sized = rows.select("k", "tie", F.octet_length("text").cast("long").alias("size")).join(F.broadcast(chosen), "k")
+    one = sized.groupBy("k", "y", "rank").agg(F.min(F.struct("tie", "size")).alias("one")).select("k", "y", "rank", "one.*")
+    taken = F.sum("size").over(Window.orderBy("rank", "y", "k").rowsBetween(Window.unboundedPreceding, 0))
+    listed = one.filter(F.col("size") <= TEXT_BYTES).withColumn("taken", taken).filter(F.col("taken") <= SAMPLE_BYTES).select("k", "tie", "y")
+    sample = rows.select("k", "tie", "text").join(F.broadcast(listed), ["k", "tie"]).groupBy("k", "tie").agg(F.first("text").alias("text"), F.first("y").alias("y"))
     found = sample.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: pa.table({"model": [json.dumps(_fit(t))]}), "model string").collect()
-    return json.loads(found[0].model) if found else _plain(0, 0)
+    model = json.loads(found[0].model) if found else _plain(0, 0)
+    if len(totals) == 2:
+        # Odds in the sample are those of all labelled rows times the ratio of the sampled shares.
+        model["doc"][0] += float(np.log(min(1, half / totals[0]) / min(1, half / totals[1])))
+    return model
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with ``toxic_score`` (0 to 1) and ``toxic_spans`` (character offsets of runs of toxic tokens, with their largest marginal)."""
-    columns = docs.columns
+    columns = kept_names(docs, "toxic_score", "toxic_spans")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     packed = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), text.alias("text"))
     schema = packed.select("row").schema.add("score", "double").add("spans", packed.select(F.lit(None).cast(SPAN)).schema[0].dataType)

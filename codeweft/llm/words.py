@@ -44,6 +44,11 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, row: Column | None = None
     return docs.select(key.alias("id"), F.coalesce(key, F.lit(LAST_ID)).alias("k"), F.xxhash64(text).alias("tie"), text.alias("text"), *([] if row is None else [row.alias("row")]))
 
 
+def kept_names(docs: DataFrame, *added: str) -> list[str]:
+    """The columns of ``docs`` but for those whose name a result adds: these are replaced."""
+    return [c for c in docs.columns if c.lower() not in added]
+
+
 def text_bytes(rows: DataFrame) -> int:
     return rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
