@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.llm.url_rules import host_of
+from codeweft.llm.words import kept_names
+from codeweft.llm.words import kept_names
 from codeweft.session import cut
 
 #: A subtree is template from so many pages of a host on, if they are also this share of the host's pages.
@@ -309,8 +311,8 @@ def main_text(root: Element, template: frozenset | set = frozenset(), sure: froz
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Every row of ``pages`` without ``html_col``, with ``main_text``."""
-    kept = [c for c in pages.columns if c != html_col]
+    """Every row of ``pages`` without ``html_col``, with ``main_text`` (in place of a column of that name)."""
+    kept = [c for c in kept_names(pages, "main_text") if c != html_col]
     rows = pages.select(F.struct(*[pages[c] for c in kept]).alias("row"), host_of(pages[url_col]).alias("host"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("page"))
     # What a host's pages hold, once for every different page: its copies add nothing.
     counted = rows.select("host", "page").mapInArrow(_count, "host string, hash long, text long").distinct()

@@ -72,7 +72,8 @@ def component_id(root: str = "root"):  # noqa: ANN201
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` whose document is its component's smallest; all columns stay. Exactly repeated rows count once."""
+    """The rows of ``docs`` whose document is its component's smallest; all columns stay. Of rows that share id and text the smallest
+    stays (columns that hold maps are compared as JSON)."""
     heads = link_components(docs, id_col, text_col, width, percent).filter("k = root.k and tie = root.tie").select("k", "tie").distinct()
     names = docs.columns
     key = docs[id_col].cast("long")
@@ -81,7 +82,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         F.coalesce(key, F.lit(LAST_ID)).alias("k"),
         F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("tie"),
     )
-    one = marked.join(heads, ["k", "tie"], "left_semi").groupBy("k", "tie").agg(F.min("row").alias("row"))
+    maps = [f.name for f in docs.schema if "map<" in f.dataType.simpleString()]
+    comparable = F.struct(*[F.to_json(F.struct(F.col("row").getField(c))) if c in maps else F.col("row").getField(c) for c in names])
+    smallest = F.min_by("row", comparable) if maps else F.min("row")
+    one = marked.join(heads, ["k", "tie"], "left_semi").groupBy("k", "tie").agg(smallest.alias("row"))
     size = text_bytes(docs.select(docs[text_col].cast("string").alias("text")))
     return gathered(one, size).select(*[F.col("row").getField(c).alias(c) for c in names])
 

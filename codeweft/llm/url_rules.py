@@ -8,7 +8,7 @@ Expansion stays in its row until the join, and the rules are broadcast only if t
 combines inside the task before it shuffles one row per URL. Only DataFrame functions are used.
 
 Defined results: a null url, or one without ``://``, has empty host and path and fits no rule; urls that fit no rule get
-``default``; repeated rows each get a row; rules with null parts are skipped.
+``default``; repeated rows each get a row; rules with null parts are skipped; columns of ``urls`` named like the four added ones are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.words import ascii_lower
+from codeweft.llm.words import ascii_lower, kept_names
 from codeweft.session import broadcast_if_small
 
 _PARTS = r"^(?s:.*?)://([^/?#]*)([^?#]*)"
@@ -35,7 +35,7 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
 
     ``rules(host, path, verdict)``: a rule fits its host and all hosts below it, where the url's path starts with its path.
     """
-    columns = urls.columns
+    columns = kept_names(urls, "url_host", "url_path", "url_rule", "url_verdict")
     rules = rules.filter("host is not null and path is not null and verdict is not null").select("host", "path", "verdict").distinct()
     lengths = sorted(r.n for r in rules.select(F.length("path").alias("n")).distinct().toLocalIterator())
     listed = rules.select(

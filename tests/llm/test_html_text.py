@@ -115,3 +115,8 @@ def test_long_template_outside_articles_goes(spark):
     rows = [(i, f"http://a.com/{i}", f"<body><p>text {i}</p>{legal}{links if i % 3 == 0 else ''}</body>") for i in range(40)]
     texts = {r.page_id: r.main_text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(texts[i] == f"text {i}" for i in range(40))
+
+
+def test_a_column_named_like_the_result_is_replaced(spark):
+    pages = spark.createDataFrame([("http://a.b/c", "<article><p>Story of it.</p></article>", 5)], "url string, html string, main_text int")
+    assert [tuple(r) for r in html_text.extract(pages).select("url", "main_text").collect()] == [("http://a.b/c", "Story of it.")]

@@ -110,3 +110,9 @@ def test_components_of_paths_and_stars(spark):
     got = components(spark.createDataFrame(links, "a long, b long"))
     assert {r.node: r.root for r in got.collect()} == {**{i: 0 for i in range(31)}, **{i: 100 for i in [*range(100, 140), 200]}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_keep_one_of_rows_with_maps(spark):
+    rows = [(1, "one two three four five", {"a": 2}), (1, "one two three four five", {"a": 1}), (2, "one two three four five", {"a": 0}), (3, None, None)]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>"))
+    assert sorted((r.doc_id, r.more) for r in kept.collect()) == [(1, {"a": 1}), (3, None)]

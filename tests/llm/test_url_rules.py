@@ -39,3 +39,11 @@ def test_no_rules_and_no_urls(spark):
     urls = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
     assert [r.url_verdict for r in url_rules.judge(urls, none, default="block").collect()] == ["block"]
     assert url_rules.judge(urls.limit(0), none).count() == 0
+
+
+def test_columns_named_like_the_result_are_replaced(spark):
+    urls = spark.createDataFrame([("http://a.example.com/en/x", 1, 2)], "url string, url_host int, URL_Verdict int")
+    rules = spark.createDataFrame([("example.com", "/en/", "block")], "host string, path string, verdict string")
+    got = url_rules.judge(urls, rules)
+    assert got.columns == ["url", "url_host", "url_path", "url_rule", "url_verdict"]
+    assert tuple(got.first()) == ("http://a.example.com/en/x", "a.example.com", "/en/x", "example.com/en/", "block")
