@@ -383,3 +383,10 @@ def test_keyword_blocks_equal_broadcast(spark):
     plan = keyword.bm25_search(index, asked, 5)._jdf.queryExecution().executedPlan().toString()
     # Nothing is exchanged by (query, document): the only shuffle is that of the best rows per query.
     assert "hashpartitioning(query_id" in plan and not re.search(r"hashpartitioning\(query_id[^)]*\bid#", plan)
+
+
+def test_embedding_reads_texts_where_arrow_holds_them():
+    from codeweft.functions.embedding import _utf8
+
+    cuts, data = _utf8(pa.array(["x", "é", None, "", "ab"]).slice(1))
+    assert [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:])] == ["é".encode(), b"", b"", b"ab"]
