@@ -390,3 +390,22 @@ def test_embedding_reads_texts_where_arrow_holds_them():
 
     cuts, data = _utf8(pa.array(["x", "é", None, "", "ab"]).slice(1))
     assert [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:])] == ["é".encode(), b"", b"", b"ab"]
+
+
+def test_vector_search_scores_few_pairs_in_doubles(monkeypatch):
+    rng = np.random.default_rng(5)
+    stored = rng.normal(size=(4000, 32))
+    stored[17], stored[3000] = stored[5], np.nan
+    table = pa.table({"repo_id": ["r"] * 4000, "id": range(4000), "embedding": list(stored)})
+    asked = table.slice(0, 100).rename_columns(["repo_id", "query_id", "embedding"])
+    exact = []
+    offered = vector.BestRows.offer
+    monkeypatch.setattr(vector.BestRows, "offer", lambda self, scores, ids: (exact.append(scores.size), offered(self, scores, ids)))
+    best = vector._NearestPerQuery(asked, 3)
+    best.add(table)
+    got = sorted((r["query_id"], -round(r["score"], 9), r["id"]) for r in best.result().to_pylist())
+    scores = np.round(vector.relevance(stored[:100], stored), 9)
+    scores[:, 3000] = -np.inf
+    want = [(q, -scores[q, i], i) for q in range(100) for i in np.lexsort((np.arange(4000), -scores[q]))[:3]]
+    assert [(q, i) for q, _, i in got] == [(q, i) for q, _, i in sorted(want)]
+    assert sum(exact) <= 100 * 200
