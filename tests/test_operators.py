@@ -385,6 +385,15 @@ def test_keyword_blocks_equal_broadcast(spark):
     assert "hashpartitioning(query_id" in plan and not re.search(r"hashpartitioning\(query_id[^)]*\bid#", plan)
 
 
+def test_terms_are_counted_in_bounded_pieces():
+    texts = [["a", "b", "a"], [], ["c"] * 7, ["b"], ["a", "c"]]
+    batch = pa.record_batch([pa.array(["r"] * 5), pa.array(range(5)), pa.array(texts, pa.list_(pa.string()))], ["repo_id", "id", "tokens"])
+    pieces = list(keyword._pieces(batch.slice(1), 4))
+    assert [p.column(1).to_pylist() for p in pieces] == [[1], [2], [3, 4]]
+    whole = [row for out in keyword._count_terms([batch]) for row in out.to_pylist()]
+    assert [(r["id"], r["n_tokens"], dict(zip(r["terms"], r["tfs"]))) for r in whole] == [(0, 3, {"a": 2, "b": 1}), (2, 7, {"c": 7}), (3, 1, {"b": 1}), (4, 2, {"a": 1, "c": 1})]
+
+
 def test_embedding_reads_texts_where_arrow_holds_them():
     from codeweft.functions.embedding import _utf8
 
@@ -409,3 +418,13 @@ def test_vector_search_scores_few_pairs_in_doubles(monkeypatch):
     want = [(q, -scores[q, i], i) for q in range(100) for i in np.lexsort((np.arange(4000), -scores[q]))[:3]]
     assert [(q, i) for q, _, i in got] == [(q, i) for q, _, i in sorted(want)]
     assert sum(exact) <= 100 * 200
+
+
+def test_queries_that_weigh_the_same_terms_are_one_search(spark):
+    documents = spark.createDataFrame([("r", 1, "alpha beta"), ("r", 2, "alpha gamma"), ("r", 3, "delta beta beta"), ("r", 4, "omega omega"), ("r", 5, "omega")], "repo_id string, id long, text string")
+    index = keyword.build_keyword_index(documents)
+    asked = spark.createDataFrame([(i, "r", f"where is doc{i} beta") for i in range(9)] + [(20, "r", "beta beta")], "query_id long, repo_id string, query string")
+    firsts, alike = keyword.same_searches(keyword.query_weights(index, asked))
+    assert sorted(r.query_id for r in firsts.collect()) == [0, 20] and alike.count() == 10
+    rows = keyword.bm25_search(index, asked, 2).collect()
+    assert sorted((r.query_id, r.rank, r.id) for r in rows) == sorted((q, n, i) for q in [*range(9), 20] for n, i in ((1, 3), (2, 1)))
