@@ -79,10 +79,9 @@ def snippet(lines: Column, start: Column, end: Column) -> Column:
 
 
 def pieces(text: Column, size: int = 8) -> Column:
-    """Consecutive slices of ``size`` characters; none for an empty text."""
-    count = F.ceil(F.length(text) / F.lit(size)).cast("int")
-    numbers = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.transform(numbers, lambda i: F.substring(text, (i - 1) * size + 1, F.lit(size)))
+    """Consecutive slices of ``size`` characters; none for an empty text. One pass: a slice by number would count characters from the start."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def parent_dir(path: Column) -> Column:

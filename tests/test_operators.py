@@ -428,3 +428,11 @@ def test_queries_that_weigh_the_same_terms_are_one_search(spark):
     assert sorted(r.query_id for r in firsts.collect()) == [0, 20] and alike.count() == 10
     rows = keyword.bm25_search(index, asked, 2).collect()
     assert sorted((r.query_id, r.rank, r.id) for r in rows) == sorted((q, n, i) for q in [*range(9), 20] for n, i in ((1, 3), (2, 1)))
+
+
+def test_slices_take_one_pass_over_the_text(spark):
+    cases = {"": [], "abcdefgh": ["abcdefgh"], "a\nb\r\n😀é中fgh\u2028": ["a\nb\r\n😀é中", "fgh\u2028"]}
+    df = spark.createDataFrame([(t,) for t in [*cases, None]], "t string").select("t", text.pieces(F.col("t")).alias("p"))
+    assert {r.t: r.p for r in df.collect()} == cases | {None: []}
+    # No slice by position, which walks over the text from its start.
+    assert "substring" not in df._jdf.queryExecution().optimizedPlan().toString()
