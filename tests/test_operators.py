@@ -436,3 +436,20 @@ def test_slices_take_one_pass_over_the_text(spark):
     assert {r.t: r.p for r in df.collect()} == cases | {None: []}
     # No slice by position, which walks over the text from its start.
     assert "substring" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_text_is_compared_once_for_all_sessions(spark, monkeypatch):
+    symbols = spark.createDataFrame(
+        [("r", f"s{i}", f"pkg.name_{i:03d}", f"name_{i:03d}", "function", "pkg.py", i, i + 1) for i in range(40)],
+        "repo_id string, id string, qualified_name string, name string, type string, file_path string, start_line long, end_line long",
+    )
+    asked = spark.createDataFrame([(i, "r", f"u{i}", "nmae_007") for i in range(6)] + [(9, "r", "u", "nom_03")], "query_id long, repo_id string, session_id string, query string")
+    searched, search = [], suggest.batch_search
+    monkeypatch.setattr(suggest, "batch_search", lambda rows, key, queries, *more: (searched.append(queries.count()), search(rows, key, queries, *more))[1])
+    rows = collect(suggest.suggest(asked, symbols), "query_id", "rank", "id")
+    assert searched == [2] and len(rows) == 70
+    names = [f"name_{i:03d}" for i in range(40)]
+    best = max(similarity.partial_ratio("nmae_007", name) for name in names)
+    first = next(r[2] for r in rows if r[:2] == (0, 1))
+    assert similarity.partial_ratio("nmae_007", f"name_{int(first[1:]):03d}") == best
+    assert all([r[1:] for r in sorted(rows) if r[0] == i] == [r[1:] for r in sorted(rows) if r[0] == 0] for i in range(6))
