@@ -453,3 +453,25 @@ def test_one_text_is_compared_once_for_all_sessions(spark, monkeypatch):
     first = next(r[2] for r in rows if r[:2] == (0, 1))
     assert similarity.partial_ratio("nmae_007", f"name_{int(first[1:]):03d}") == best
     assert all([r[1:] for r in sorted(rows) if r[0] == i] == [r[1:] for r in sorted(rows) if r[0] == 0] for i in range(6))
+
+
+def test_keys_are_counted_only_where_some_can_be_hot(symbols, relations, monkeypatch):
+    asked = []
+    monkeypatch.setattr(resolve, "hot_keys", lambda rows, keys, hot_rows: asked.append(rows) or joins.hot_keys(rows, keys, hot_rows))
+    n = relations.select(*resolve.RELATION_COLUMNS).distinct().count()
+    resolve.resolve(relations, symbols, hot_rows=4 * n).count()
+    assert not asked
+    resolve.resolve(relations, symbols, hot_rows=4).count()
+    assert len(asked) == 1
+
+
+def test_only_prefixes_of_sources_are_keys(spark, symbols):
+    ranked = resolve.ranked_symbols(symbols)
+    repo = ranked.first().repo_id
+    sources = spark.createDataFrame([(repo, "sh"), (repo, "web"), (repo, "none")], "repo_id string, prefix string")
+    every, some = resolve.symbol_keys(ranked), resolve.symbol_keys(ranked, sources)
+    fixed = resolve.symbol_keys(ranked, sources.limit(0))
+    assert fixed.count() < some.count() < every.count()
+    wanted = ranked.select("repo_id", "name", F.explode(F.array(F.lit("sh"), F.lit("web"))).alias("place"), "qualified_name")
+    wanted = wanted.where(F.col("qualified_name").startswith(F.col("place"))).select("name", "place").distinct()
+    assert some.join(fixed, "key", "left_anti").count() == wanted.count()
