@@ -1,9 +1,10 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
 Texts are compared as lower-cased letters and digits of their composed form (NFC) with single spaces. A region within ``e`` edits of an item of ``L``
-characters shares at least ``L - q + 1 - q e`` q-grams with it, on diagonals that differ by at most ``e``. Shared q-grams are
-counted in cells of more than ``e`` diagonals, so two neighbouring cells, a band, hold them all; bands that reach the bound are verified by
-alignment of the whole item against the band (item ends fixed, text ends free).
+characters shares at least ``L - q + 1 - q e`` q-grams with it, and at least ``L // q - e`` of those that do not overlap (every q-th), on
+diagonals that differ by at most ``e``. Shared q-grams that do not overlap are counted in cells of more than ``e`` diagonals, so two
+neighbouring cells, a band, hold them all. In bands that reach that bound all q-grams of the item are counted, and bands that reach the
+first bound are verified by alignment of the whole item against the band (item ends fixed, text ends free).
 
 Documents stay where they are read: the items travel, in blocks of bounded size (one pass each), and nothing is shuffled, so a
 passage that a third of all documents hold costs no more than any other. A text longer than a chunk is cut into overlapping parts.
@@ -26,12 +27,14 @@ from pyspark.sql import functions as F
 
 from codeweft.llm.words import mix, ranges, rolling, text_chunks
 
-#: Characters of items that one pass over the documents carries (about 40 bytes each in a task).
+#: Characters of items that one pass over the documents carries (up to some 40 bytes each in a task).
 BLOCK_CHARS = 2_000_000
 #: Setting of the query and the pipeline: copies with up to 12 % of their characters edited are found.
 WIDE = {"q": 6, "budget": 0.12}
 PART_CHARS = 1 << 20
 HITS = 1 << 20
+#: Items that must keep fewer q-grams that do not overlap are searched by all of theirs.
+SEEDS = 2
 CELL = (1 << 40) - 1
 GAP = np.uint32(0x110000)
 SPACE = np.uint32(32)
@@ -170,12 +173,17 @@ class _Items:
         long = self.codes[: self.first_exact]
         sizes = np.array([len(c) for c in long], np.int64)
         self.edits = (sizes * budget).astype(np.int64)
-        self.least = sizes - q + 1 - q * self.edits
+        self.shared = sizes - q + 1 - q * self.edits
+        # An edit meets up to q places, but only one of those that are q apart: these are a q-th of the hits and lose no region.
+        apart = sizes // q - self.edits
+        step = np.where(apart >= SEEDS, q, 1)
+        self.least = np.where(apart >= SEEDS, apart, self.shared)
         grams = [rolling(c.astype(np.uint64), q) for c in long]
-        flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        kept = [np.arange(0, len(g), n) for g, n in zip(grams, step.tolist(), strict=True)]
+        flat = np.concatenate([g[at] for g, at in zip(grams, kept, strict=True)]) if grams else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
-        self.item = np.repeat(np.arange(len(long)), [len(g) for g in grams])[order]
-        self.place = (np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64))[order]
+        self.item = np.repeat(np.arange(len(long)), [len(at) for at in kept])[order]
+        self.place = (np.concatenate(kept) if grams else np.zeros(0, np.int64))[order]
         self.grams, self.begin, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.grams >> np.uint64(44)).astype(np.int64)] = True
@@ -250,7 +258,6 @@ def _candidates(line: np.ndarray, known: _Items) -> Iterator[tuple]:
     where = np.minimum(np.searchsorted(known.grams, grams[hits]), len(known.grams) - 1)
     true = known.grams[where] == grams[hits]
     hits, where = hits[true], where[true]
-    del grams
     width = np.maximum(16, known.edits + 1)
     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     sums = np.cumsum(known.count[where])
@@ -278,9 +285,29 @@ def _candidates(line: np.ndarray, known: _Items) -> Iterator[tuple]:
     item, band = keys[good] >> 40, keys[good] & CELL
     for i in np.unique(item):
         begin = band[item == i] * width[i] - known.overlap
+        begin = begin[_held(grams, rolling(known.codes[i].astype(np.uint64), known.q), begin, int(2 * width[i])) >= known.shared[i]]
         yield from _align(line, known.codes[i], int(known.edits[i]), int(i), begin, int(2 * width[i] - known.edits[i]))
 
 
+def _held(grams: np.ndarray, own: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
+    """How many of the q-grams ``own`` of an item each band of ``width`` diagonals holds, each place of the item counted once."""
+    known, gram = np.unique(own, return_inverse=True)
+    reach = width + len(own) - 1
+    out = np.zeros(len(begin), np.int64)
+    step = max(1, HITS // reach)
+    for low in range(0, len(begin), step):
+        at = begin[low : low + step, None] + np.arange(reach)
+        some = grams[np.clip(at, 0, len(grams) - 1)]
+        where = np.minimum(np.searchsorted(known, some), len(known) - 1)
+        band, shift = np.nonzero((known[where] == some) & (at >= 0) & (at < len(grams)))
+        # Band, q-gram and offset travel in one number; the q-gram of place p is due at the offsets p .. p + width - 1.
+        stand = np.sort((band * len(known) + where[band, shift]) * reach + shift)
+        due = (np.arange(len(at))[:, None] * len(known) + gram) * reach + np.arange(len(own))
+        after = np.append(stand, np.iinfo(np.int64).max)[np.searchsorted(stand, due)]
+        out[low : low + step] = (after < due + width).sum(axis=1)
+    return out
+
+
 def _bands(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """What every cell holds together with the next one."""
     both = counts.copy()

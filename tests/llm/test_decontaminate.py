@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -131,6 +132,33 @@ def test_the_whole_budget_holds_for_every_item(q, budget):
         decontaminate._Items(items, q, 1.0)
 
 
+def test_few_hits_are_counted_and_few_bands_aligned(monkeypatch):
+    r = random.Random(5)
+    words = ["".join(r.choice("etaonrish") for _ in range(r.randint(2, 7))) for _ in range(200)]
+    line = lambda n: " ".join(words[int(200 * r.random() ** 2)] for _ in range(n))
+    items = [(i, line(40)) for i in range(15)]
+    texts = [line(60) + " " + f"{line(1)} " * 80 + damage(r, item, len(item) // 10) + " " + line(60) for _, item in items for _ in range(2)]
+    work, tally, align = {"hits": 0, "bands": 0}, decontaminate._tally, decontaminate._align
+
+    def tallied(item, *more):
+        work["hits"] += len(item)
+        return tally(item, *more)
+
+    def aligned(line, codes, edits, item, begin, width):
+        work["bands"] += len(begin)
+        return align(line, codes, edits, item, begin, width)
+
+    monkeypatch.setattr(decontaminate, "_tally", tallied)
+    monkeypatch.setattr(decontaminate, "_align", aligned)
+    known = decontaminate._Items(items, **decontaminate.WIDE)
+    got = {(m[0], known.ids[m[1]]) for m in decontaminate._matches([t.encode() for t in texts], known)}
+    near = lambda t, item: distance_in(decontaminate.plain(t)[0], decontaminate.plain(item)[0]) <= int(len(item) * 0.12)
+    assert got == {(i, j) for i, t in enumerate(texts) for j, item in items if near(t, item)} and len(got) >= len(texts)
+    grams = lambda t: Counter(t[i : i + 6] for i in range(len(t) - 5))
+    shared = sum(n * of[g] for t in texts for of in [grams(t)] for _, item in items for g, n in grams(item).items())
+    assert work["hits"] < shared / 4 and work["bands"] < 4 * len(got)
+
+
 def test_decomposed_copies_are_found_where_they_stand(spark):
     text = "mañana él dirá qué pasó aquí según dónde está más allá de así también"
     forms = {i: unicodedata.normalize(f, text) for i, f in enumerate(("NFC", "NFD"))}
