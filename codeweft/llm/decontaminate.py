@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.words import mix, ranges, rolling, text_chunks
+from codeweft.llm.words import lean, mix, ranges, rolling, text_chunks
 
 #: Characters of items that one pass over the documents carries (up to some 40 bytes each in a task).
 BLOCK_CHARS = 2_000_000
@@ -55,7 +55,7 @@ def find_leaks(
                 columns = [[ids[m[0]] for m in out], [known.ids[m[1]] for m in out], *[[m[i] for m in out] for i in (2, 3, 4)]]
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["id", "item", "start", "stop", "edits"])
 
-        found.append(rows.mapInArrow(run, "id long, item long, start long, stop long, edits long"))
+        found.append(rows.mapInArrow(lambda it, run=run: lean(run(it)), "id long, item long, start long, stop long, edits long"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -75,7 +75,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
                 table = table.set_column(1, "text", table.column("text").cast(pa.string())).filter(pa.array([i not in bad for i in range(table.num_rows)], pa.bool_()))
                 yield from table.combine_chunks().to_batches()
 
-        rows = rows.mapInArrow(keep, rows.schema)
+        rows = rows.mapInArrow(lambda it, keep=keep: lean(keep(it)), rows.schema)
     return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from codeweft.llm.components import components, stored
 from codeweft.llm.keys import maybe_in
-from codeweft.llm.words import CHUNK_BYTES, LAST_ID, LOWER_BYTES, encode_words, gathered, keyed, mix, pack_arrays, rolling, text_bytes, text_chunks, unpack_arrays, word_hashes
+from codeweft.llm.words import CHUNK_BYTES, LAST_ID, LOWER_BYTES, encode_words, gathered, keyed, lean, lean_group, mix, pack_arrays, rolling, text_bytes, text_chunks, unpack_arrays, word_hashes
 from codeweft.session import cut
 
 #: Share of hash values counted in step 1 (members below 2**64 / COUNTED), and the members that one meeting's part may hold.
@@ -47,11 +47,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = keyed(docs, id_col, text_col).select("k", "tie", "text")
     size = text_bytes(texts)
     buckets, files = max(1, -(-size // BUCKET_BYTES)), max(1, -(-size // FILE_BYTES))
-    dealt = texts.mapInArrow(lambda it: _sets(it, width, buckets), "bucket long, kind int, blob binary")
-    stage = cut(dealt.groupBy("bucket").applyInArrow(lambda t: _shared_members(t, buckets), f"{_DOCUMENT}, target long, blob binary"))
+    dealt = texts.mapInArrow(lambda it: lean(_sets(it, width, buckets)), "bucket long, kind int, blob binary")
+    stage = cut(dealt.groupBy("bucket").applyInArrow(lean_group(lambda t: _shared_members(t, buckets)), f"{_DOCUMENT}, target long, blob binary"))
     single = stage.filter("blob is null").select("k", "tie", "n", "counted", "s1", "s2")
     classes = single.filter("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("k", "tie")).alias("node"), F.max("n").alias("n"), F.max("counted").alias("counted"))
-    live = stage.filter("blob is not null").select("target", "blob").groupBy("target").applyInArrow(_sums, "s1 long, live long")
+    live = stage.filter("blob is not null").select("target", "blob").groupBy("target").applyInArrow(lean_group(_sums), "s1 long, live long")
     spare = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100))
     classes = stored(classes.join(live, "s1", "left").withColumn("open", F.col("counted") - F.least("counted", F.coalesce("live", F.lit(0))) <= spare), files)
     sets = stored(_sets_of(texts, classes.filter("open").select("node.k", "node.tie"), width, percent, files, size), 4 * files)
@@ -224,7 +224,7 @@ def _sets_of(texts: DataFrame, wanted: DataFrame, width: int, percent: int, file
                 columns = [table.column(c).combine_chunks().take(part) for c in ("cid", "k", "tie")]
                 yield pa.record_batch([*columns, pa.array(sizes).take(part), pa.array(flat[low : low + (1 << 17)])], ["cid", "k", "tie", "n", "member"])
 
-    postings = cut(gathered(own, size // 4).mapInArrow(run, "cid long, k long, tie long, n long, member long"))
+    postings = cut(gathered(own, size // 4).mapInArrow(lambda it: lean(run(it)), "cid long, k long, tie long, n long, member long"))
     often = postings.groupBy("member").agg(F.count("*").alias("df")).filter("df > 1")
     key = F.least(F.lit(31), F.floor(2 * F.log2("df"))).cast("long") * F.lit(1 << 58) + F.col("member").bitwiseAND(F.lit((1 << 58) - 1))
     shared = postings.select("cid", "member").join(often, "member").select("cid", key.alias("member"))
@@ -246,7 +246,7 @@ def _meet_at_minimum(sets: DataFrame, percent: int, files: int) -> DataFrame:
                 yield pa.record_batch([pa.array(np.array(least, np.uint64).view(np.int64)), k, tie, n], ["place", "k", "tie", "n"])
 
     flat = sets.select("node.k", "node.tie", "n", "members")
-    places = stored(flat.mapInArrow(keys, "place long, k long, tie long, n long"), files)
+    places = stored(flat.mapInArrow(lambda it: lean(keys(it)), "place long, k long, tie long, n long"), files)
     met = places.groupBy("place").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.min(F.struct("k", "tie")).alias("low"), F.max(F.struct("k", "tie")).alias("high"))
     met = met.filter("c > 1").withColumn("parts", F.ceil(F.col("total") / BLOCK_MEMBERS).cast("int"))
     node = F.struct("k", "tie")
@@ -254,7 +254,7 @@ def _meet_at_minimum(sets: DataFrame, percent: int, files: int) -> DataFrame:
     pivot = (node == F.col("low")) | (node == F.col("high"))
     dealt = places.join(met, "place").select("k", "tie", "place", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)).alias("part"))
     full = dealt.join(flat, ["k", "tie"]).select("place", "part", "k", "tie", "n", "members", F.lit(None).cast("long").alias("rk"), F.lit(None).cast("long").alias("rt"))
-    found = full.groupBy("place", "part").applyInArrow(lambda t: _tree_links(t, percent), "ak long, at long, bk long, bt long")
+    found = full.groupBy("place", "part").applyInArrow(lean_group(lambda t: _tree_links(t, percent)), "ak long, at long, bk long, bt long")
     return _as_links(found, files)
 
 
@@ -289,7 +289,7 @@ def _meet_between_components(sets: DataFrame, percent: int, files: int) -> DataF
     pairs = F.transform(every, lambda other: F.struct(F.least(part, other).alias("i"), F.greatest(part, other).alias("j")))
     dealt = meetings.join(parts, ["home", "level"]).select("home", "level", "k", "tie", F.explode(pairs).alias("pair"))
     full = dealt.join(flat, ["k", "tie"]).select("home", "level", "pair", "k", "tie", "n", "members", "rk", "rt")
-    found = full.groupBy("home", "level", "pair").applyInArrow(lambda t: _tree_links(t, percent), "ak long, at long, bk long, bt long")
+    found = full.groupBy("home", "level", "pair").applyInArrow(lean_group(lambda t: _tree_links(t, percent)), "ak long, at long, bk long, bt long")
     return _as_links(found, files)
 
 

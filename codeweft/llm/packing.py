@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.words import text_chunks
+from codeweft.llm.words import lean, text_chunks
 
 #: Windows' worth of tokens that the pool may carry from one chunk of texts to the next.
 POOL_WINDOWS = 64
@@ -39,7 +39,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     schema = "id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return rows.mapInArrow(lambda it: _pack(it, tokenizer, window, end_id), schema)
+    return rows.mapInArrow(lambda it: lean(_pack(it, tokenizer, window, end_id)), schema)
 
 
 def encoder(path: str):  # noqa: ANN201

@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from codeweft.llm.words import LOWER_BYTES, encode_words, kept_names, keyed, mix, rolling, text_chunks, training, word_hashes
+from codeweft.llm.words import LOWER_BYTES, encode_words, kept_names, keyed, lean, lean_group, mix, rolling, text_chunks, training, word_hashes
 
 #: Bounds of the fit: labelled documents looked at, those the field is fitted to, and words that may carry a weight.
 SAMPLE_ROWS = 6_000
@@ -56,7 +57,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     taken = F.sum("size").over(Window.orderBy("rank", "y", "k").rowsBetween(Window.unboundedPreceding, 0))
     listed = one.filter(F.col("size") <= TEXT_BYTES).withColumn("taken", taken).filter(F.col("taken") <= SAMPLE_BYTES).select("k", "tie", "y")
     sample = rows.select("k", "tie", "text").join(F.broadcast(listed), ["k", "tie"]).groupBy("k", "tie").agg(F.first("text").alias("text"), F.first("y").alias("y"))
-    found = sample.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: pa.table({"model": [json.dumps(_fit(t))]}), "model string").collect()
+    found = sample.groupBy(F.lit(0).alias("all")).applyInArrow(lean_group(lambda t: pa.table({"model": [json.dumps(_fit(t))]})), "model string").collect()
     model = json.loads(found[0].model) if found else _plain(0, 0)
     if len(totals) == 2:
         # Odds in the sample are those of all labelled rows times the ratio of the sampled shares.
@@ -67,11 +68,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with ``toxic_score`` (0 to 1) and ``toxic_spans`` (character offsets of runs of toxic tokens, with their largest marginal)."""
     columns = kept_names(docs, "toxic_score", "toxic_spans")
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    packed = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), text.alias("text"))
-    schema = packed.select("row").schema.add("score", "double").add("spans", packed.select(F.lit(None).cast(SPAN)).schema[0].dataType)
-    scored = packed.mapInArrow(lambda it: _score(it, model), schema)
-    return scored.select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("score").alias("toxic_score"), F.col("spans").alias("toxic_spans"))
+    source = docs.select(docs[text_col]).schema[0]
+    # A text that is a string already travels once, not beside its row.
+    own = source.name if isinstance(source.dataType, StringType) else None
+    carried = [c for c in columns if c != own]
+    row = F.struct(*[docs[c] for c in carried]) if carried else F.lit(0)
+    packed = docs.select(row.alias("row"), docs[text_col].cast("string").alias("text"))
+    schema = packed.select("row", "text").schema.add("score", "double").add("spans", packed.select(F.lit(None).cast(SPAN)).schema[0].dataType)
+    scored = packed.mapInArrow(lambda it: lean(_score(it, model)), schema)
+    kept = [(F.col("text") if c == own else F.col("row").getField(c)).alias(c) for c in columns]
+    return scored.select(*kept, F.col("score").alias("toxic_score"), F.col("spans").alias("toxic_spans"))
 
 
 def _plain(toxic: int, rows: int) -> dict:
@@ -213,18 +219,24 @@ def _score(batches: Iterable[pa.RecordBatch], model: dict) -> Iterator[pa.Record
     weight = {w.encode(): v for w, v in model["words"].items()}
     doc = np.array(model["doc"])
     for table in text_chunks(batches):
-        texts = table.column("text").to_pylist()
-        codes, counts, vocabulary = encode_words(texts)
-        own = np.array([weight.get(w, 0.0) for w in bare(vocabulary)]) + model["bias"]
-        p, _, _ = _marginals(own[codes] if len(codes) else np.zeros(0), counts, model["moves"])
-        x = _document_features(p, counts)
-        scores = 1 / (1 + np.exp(-np.clip(doc[0] + x @ doc[1:], -30, 30)))
-        first = np.cumsum(counts) - counts
-        spans = [_spans(t, p[a : a + n]) if top >= 0.5 else [] for t, a, n, top in zip(texts, first, counts, x[:, 1], strict=True)]
-        yield pa.record_batch(
-            [table.column("row").combine_chunks(), pa.array(scores), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("p", pa.float64())])))],
-            ["row", "score", "spans"],
-        )
+        yield _scored(table, weight, doc, model)
+
+
+def _scored(table: pa.Table, weight: dict, doc: np.ndarray, model: dict) -> pa.RecordBatch:
+    text = table.column("text").combine_chunks()
+    texts = text.fill_null(b"").to_pylist()
+    codes, counts, vocabulary = encode_words(texts)
+    own = np.array([weight.get(w, 0.0) for w in bare(vocabulary)]) + model["bias"]
+    p = _marginals(own[codes] if len(codes) else np.zeros(0), counts, model["moves"])[0]
+    x = _document_features(p, counts)
+    scores = 1 / (1 + np.exp(-np.clip(doc[0] + x @ doc[1:], -30, 30)))
+    first = np.cumsum(counts) - counts
+    spans = [_spans(t, p[a : a + n]) if top >= 0.5 else [] for t, a, n, top in zip(texts, first, counts, x[:, 1], strict=True)]
+    # The view takes bytes as they are: Spark's strings need not be valid UTF-8.
+    return pa.record_batch(
+        [table.column("row").combine_chunks(), text.view(pa.string()), pa.array(scores), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("p", pa.float64())])))],
+        ["row", "text", "score", "spans"],
+    )
 
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

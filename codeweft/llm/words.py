@@ -5,8 +5,9 @@ A word is a run of bytes other than ASCII white space (``[^\\x20\\x09-\\x0D]+``)
 
 from __future__ import annotations
 
+import ctypes
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 #: Text handled at once inside a task; a longer single text is its own chunk.
 CHUNK_BYTES = 6 << 20
 PART_BYTES = 32 << 20
+#: Words that are Python objects at once; as Arrow arrays they take a fifth of that.
+LISTED_WORDS = 1 << 17
 LAST_ID = (1 << 63) - 1
 ODD = np.uint64(0x9E3779B97F4A7C15)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,6 +65,32 @@ def gathered(df: DataFrame, size: int) -> DataFrame:
     return df.coalesce(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)))
 
 
+def give_back() -> None:
+    """Return this process's free memory to the system. Python workers are reused, and an idle one would keep what its task's peak took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches`` of a task; at their end ``give_back``."""
+    yield from batches
+    give_back()
+
+
+def lean_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``run`` on a group; ``give_back`` after each one of some size."""
+
+    def own(table: pa.Table) -> pa.Table:
+        result, large = run(table), table.nbytes >= 1 << 20
+        if large:
+            give_back()
+        return result
+
+    return own
+
+
 def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
     """Regroup Arrow batches into tables of about ``limit`` bytes of ``column`` (binary afterwards)."""
     kept, size = [], 0
@@ -69,7 +98,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit:
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index(column)
-        sizes = np.cumsum(pa.compute.binary_length(batch.column(at)).to_numpy(zero_copy_only=False).astype(np.int64))
+        sizes = np.cumsum(pa.compute.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
             before = int(sizes[start - 1]) if start else 0
@@ -92,12 +121,16 @@ def _binary(kept: list[pa.RecordBatch], column: str) -> pa.Table:
 
 def encode_words(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Codes of all words in order, the number of words of each text, and the distinct words by code."""
-    words, counts = [], []
+    pieces, words, counts = [], [], []
     for text in texts:
         own = text.split()
         counts.append(len(own))
         words.extend(own)
-    coded = pa.array(words, pa.binary()).dictionary_encode()
+        if len(words) >= LISTED_WORDS:
+            pieces.append(pa.array(words, pa.binary()))
+            words = []
+    pieces.append(pa.array(words, pa.binary()))
+    coded = pa.chunked_array(pieces).combine_chunks().dictionary_encode()
     return coded.indices.to_numpy(), np.array(counts, np.int64), coded.dictionary.to_pylist()
 
 
