@@ -27,7 +27,7 @@ from codeweft.llm.words import encode_words, gathered, keyed, lean, lean_group,
 from codeweft.session import cut
 
 #: Text dealt at once in a task; larger blobs repeat fewer words of their vocabulary.
-DEAL_BYTES = 8 << 20
+DEAL_BYTES = 4 << 20
 #: Words of runs (neighbouring runs overlap) that are compared at once.
 BLOCK_WORDS = 1 << 18
 #: Text whose seed runs are hashed at once.
@@ -265,7 +265,7 @@ def _settle(table: pa.Table, width: int) -> pa.Table:
     """Sort the windows of a bucket and report every occurrence after the first."""
     ks, ties, starts, lengths, vocabularies, streams, known, parts = [], [], [], [], [], [], [], []
     base = 0
-    for blob in table.column("blob").to_pylist():
+    for blob in (b.as_py() for b in table.column("blob")):
         k, tie, which, local, runs, size, stream, text, settled = unpack_arrays(
             blob, np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.int64, np.uint8, bytes, np.int64
         )
