@@ -5,7 +5,6 @@ A word is a run of bytes other than ASCII white space (``[^\\x20\\x09-\\x0D]+``)
 
 from __future__ import annotations
 
-import ctypes
 import struct
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,6 +15,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.functions.memory import give_back
+
 #: Text handled at once inside a task; a longer single text is its own chunk.
 CHUNK_BYTES = 6 << 20
 PART_BYTES = 32 << 20
@@ -65,14 +66,6 @@ def gathered(df: DataFrame, size: int) -> DataFrame:
     return df.coalesce(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)))
 
 
-def give_back() -> None:
-    """Return this process's free memory to the system. Python workers are reused, and an idle one would keep what its task's peak took."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``batches`` of a task; at their end ``give_back``."""
     yield from batches
