@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeweft import session
 from codeweft.operators import keyword, vector
+from codeweft.plans import ingest
 
 SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -16,11 +17,11 @@ def _batches_asked(monkeypatch):
     asked = []
 
     def spy(df, batch_bytes=None):
-        if "InArrow" in df._jdf.queryExecution().optimizedPlan().toString():
+        if any(step in df._jdf.queryExecution().optimizedPlan().toString() for step in ("InArrow", "EvalPython")):
             asked.append(batch_bytes)
         return session.cut(df, batch_bytes)
 
-    for module in (keyword, vector):
+    for module in (ingest, keyword, vector):
         monkeypatch.setattr(module, "cut", spy)
     return asked
 
@@ -65,3 +66,14 @@ def test_vector_search_uses_small_batches(spark, monkeypatch):
     queries = vectors.where("id = 3").select(F.col("id").alias("query_id"), "repo_id", "embedding")
     assert [row.id for row in vector.vector_search(vectors, queries, 1).collect()] == [3]
     assert asked == [session.LONG_ROWS_BYTES]
+
+
+def test_ingest_lists_few_lines_at_once(spark, monkeypatch):
+    asked = _batches_asked(monkeypatch)
+    files = spark.createDataFrame(
+        [("r", "a/one.py", "python", "def one():\n    return two()\n"), ("r", "a/two.ts", "typescript", "function two() {\n}\n")],
+        "repo_id string, file_path string, language string, content string",
+    )
+    symbols, _ = ingest.parse(files)
+    assert sorted(row.name for row in symbols.where("type = 'function'").collect()) == ["one", "two"]
+    assert asked == [session.LISTED_BYTES]
