@@ -331,6 +331,6 @@ def bm25_search(index: KeywordIndex, queries: DataFrame, k: int = 8, limit: int
     kinds = {**dict(weights.dtypes), **dict(lists.dtypes)}
     schema = f"query_id {kinds['query_id']}, repo_id string, id {kinds['ids'][6:-1]}, score double"
     found = batch_search(lists, "segment", weights, lambda asked: _BestDocuments(asked, k), schema, limit, SHARD_SEGMENTS)
-    # Run here, as k rows per query, since a batch may hold few segments only: each has some megabytes.
-    best = cut(top_k(found, k), LONG_ROWS_BYTES)
+    # Run here, as k rows per query and task, since a batch may hold few segments only: each has some megabytes.
+    best = top_k(cut(found, LONG_ROWS_BYTES), k)
     return best.withColumnRenamed("query_id", "first").join(alike, ["first", "repo_id"]).select("query_id", "repo_id", "id", "score", "rank")
